@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .html_text import op2_html_text
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import OP5_SQL, op5_mix_sources
+from .packing import op10_packing
+from .quality import op6_quality_rules
+from .rans import op8_token_files
 
 QUERIES = {
+    "op2_html_text": op2_html_text,
     "op5_mix_sources": op5_mix_sources,
+    "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
