@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from ._common import SPACE, WORD, documents, held, let, text_of, words_of, stored
 
 #: The table of weights has at most this many rows, whatever the corpus: a proven bound for broadcasting.
-BUCKETS = 1 << 16
-SMOOTHING = 0.5
+BUCKETS = 1 << 15
+SMOOTHING = 5.0
 #: Mean log ratio under which a document is rejected.
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"

@@ -6,12 +6,14 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_text import op2_html_text
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import OP5_SQL, op5_mix_sources
+from .ngram_join import op4_ngram_join
 from .packing import op10_packing
 from .quality import op6_quality_rules
 from .rans import op8_token_files
 
 QUERIES = {
     "op2_html_text": op2_html_text,
+    "op4_ngram_join": op4_ngram_join,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
