@@ -34,7 +34,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_cop
 
     Sources take the weights in turn, by code point and null last. A target is the source's share by weight
     of all sizes, at most ``max_copies`` times its size; the excess is shared again by weight. The level that
-    this comes to is found in one pass: sources in the order of cap to weight are capped until the rest fit.
+    this comes to is found in one pass: sources in the order of cap to weight are capped until the rest fit, and every
+    later level is lower.
     """
     by = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("source_rows"), F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -45,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_cop
     by = by.withColumn("capped", F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"))
     by = by.withColumn("open", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
     by = by.withColumn("level", (F.sum("source_size").over(whole) - F.col("capped")) / F.col("open"))
-    level = F.coalesce(F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(whole), F.max("ratio").over(whole))
+    level = F.coalesce(F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(whole), F.max("ratio").over(whole))
     return by.withColumn("target", F.least(F.col("cap").cast("double"), level * F.col("weight"))).select("source", "source_rows", "source_size", "weight", "target")
 
 
@@ -98,7 +99,7 @@ WITH d AS (
   SELECT *, ((sum(source_size) OVER ()) - (sum(cap) OVER (ORDER BY ratio, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cap))::DOUBLE
             / (sum(weight) OVER (ORDER BY ratio, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w
 ), t AS (
-  SELECT source, source_size, least(cap::DOUBLE, coalesce(min(level) FILTER (level <= ratio) OVER (), max(ratio) OVER ()) * weight) AS target FROM v
+  SELECT source, source_size, least(cap::DOUBLE, coalesce(max(level) FILTER (level <= ratio) OVER (), max(ratio) OVER ()) * weight) AS target FROM v
 ), r AS (
   SELECT d.doc_id, d.source, d.size, d.u, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole
