@@ -10,8 +10,10 @@ from .ngram_join import op4_ngram_join
 from .packing import op10_packing
 from .quality import op6_quality_rules
 from .rans import op8_token_files
+from .secrets import op1_secret_scan
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_html_text": op2_html_text,
     "op4_ngram_join": op4_ngram_join,
     "op5_mix_sources": op5_mix_sources,
