@@ -91,7 +91,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
     """
     texts = docs.select("doc_id", text_of(docs).alias("__text"))
     good_ids = trusted.select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct()
-    good = texts.join(good_ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    # Labels grow with the corpus: a merge join at every size, never a broadcast.
+    good = texts.join(good_ids.hint("merge"), F.col("doc_id") == F.col("__id"), "left_semi")
     counts = _counted(texts, buckets, "raw").join(_counted(good, buckets, "good"), "bucket", "left").fillna(0, ["good"])
     whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counts = counts.withColumn("all_raw", F.sum("raw").over(whole)).withColumn("all_good", F.sum("good").over(whole))
