@@ -11,10 +11,12 @@ from .packing import op10_packing
 from .quality import op6_quality_rules
 from .rans import op8_token_files
 from .secrets import op1_secret_scan
+from .suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_html_text": op2_html_text,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
