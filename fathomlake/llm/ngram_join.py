@@ -317,7 +317,8 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, t
         links = spanning_links(sets, num, den) if len(sets) > 1 else []
         return pd.DataFrame({"u": [names[a] for a, _ in links], "v": [names[b] for _, b in links]}, dtype="int64")
 
-    links = texts.join(placed, "rep").groupBy("part", "i", "j").applyInPandas(verify, "u bigint, v bigint")
+    # candidates grow with the corpus: a merge join at every size, never a broadcast
+    links = texts.join(placed.hint("merge"), "rep").groupBy("part", "i", "j").applyInPandas(verify, "u bigint, v bigint")
     classes = connected_components(links)
     named = reps.join(classes, reps["rep"] == classes["node"], "left").select(reps["node"], F.coalesce("component", "rep").alias("component"))
     out = table.join(named, "node", "left")
