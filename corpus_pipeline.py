@@ -18,8 +18,8 @@ from fathomlake.llm.quality import quality_rules, trusted_of
 
 
 def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id ``chosen`` has; a null doc_id is a name like others."""
-    ids = chosen.select(F.col("doc_id").alias("__chosen"))
+    """Rows of ``docs`` whose doc_id ``chosen`` has; a null doc_id is a name like others. A merge join at every size: ids grow with the corpus."""
+    ids = chosen.select(F.col("doc_id").alias("__chosen")).hint("merge")
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__chosen"]), "left_semi")
 
 
@@ -41,7 +41,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those not taken go."""
     copies = mix_sources(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__chosen")
-    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__chosen"]))
+    rows = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["__chosen"]))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
