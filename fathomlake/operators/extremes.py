@@ -15,7 +15,7 @@ def block_maxima(df: DataFrame, value: str, time: str, by: list[str], kind: str
     block = F.date_trunc(kind, time).alias("block")
     best = F.max(F.struct(F.col(value).alias("v"), (-F.unix_micros(time)).alias("t")))
     out = df.groupBy(*by, block).agg(best.alias("b"))
-    return out.select(*by, "block", F.col("b.v").alias(value), F.timestamp_micros(-F.col("b.t")).alias("at"))
+    return out.select(*by, "block", F.col("b.v").alias(value), F.timestamp_micros(-F.col("b.t")).alias("peak_ts"))
 
 
 def fixed_block_maxima(df: DataFrame, value: str, order: list[str], by: list[str], size: float) -> DataFrame:
@@ -38,7 +38,7 @@ def mean_excess(df: DataFrame, value: str, thresholds: list[float]) -> DataFrame
 
 
 def peaks_over_threshold(df: DataFrame, value: str, time: str, by: list[str], threshold: float, days: float = 3.0) -> DataFrame:
-    """by, event, peak, at, n, excess: runs at or over the threshold, those whose peaks are less than ``days`` apart taken as one event."""
+    """by, event, peak, peak_ts, n, excess: runs at or over the threshold, those whose peaks are less than ``days`` apart taken as one event."""
     w = Window.partitionBy(*by).orderBy(time)
     over = F.col(value) >= threshold
     marked = df.withColumn("__over", over).withColumn("__new", F.when(over & ~F.coalesce(F.lag(over).over(w), F.lit(False)), 1).otherwise(0))
@@ -50,7 +50,7 @@ def peaks_over_threshold(df: DataFrame, value: str, time: str, by: list[str], th
     apart = F.coalesce(F.col("t") - F.lag("t").over(r) >= days * 86400e6, F.lit(True))
     runs = runs.withColumn("event", F.sum(F.when(apart, 1).otherwise(0)).over(r))
     out = runs.groupBy(*by, "event").agg(F.max(F.struct("peak", (-F.col("t")).alias("t"))).alias("b"), F.sum("n").alias("n"), F.sum("excess").alias("excess"))
-    return out.select(*by, "event", F.col("b.peak").alias("peak"), F.timestamp_micros(-F.col("b.t")).alias("at"), "n", "excess")
+    return out.select(*by, "event", F.col("b.peak").alias("peak"), F.timestamp_micros(-F.col("b.t")).alias("peak_ts"), "n", "excess")
 
 
 def local_peaks(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:

@@ -44,10 +44,10 @@ def per_wave(name: str, cols: dict, sql: str) -> None:
 
 
 # --- scaling and cleaning
-@query("SELECT l_orderkey, l_linenumber, round((l_quantity-min(l_quantity) OVER ())/(max(l_quantity) OVER ()-min(l_quantity) OVER ()),6)::DOUBLE AS l_quantity, round(l_extendedprice::DOUBLE/300000,6) AS l_extendedprice FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity-min(l_quantity) OVER ())/(max(l_quantity) OVER ()-min(l_quantity) OVER ()),6)::DOUBLE AS l_quantity, round(l_extendedprice::DOUBLE/262144,6) AS l_extendedprice FROM lineitem")
 def normalize(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", C("l_quantity").cast("double"), C("l_extendedprice").cast("double"))
-    return fr.normalize(rows, ["l_quantity", "l_extendedprice"], {"l_extendedprice": (0, 300000)})
+    return fr.normalize(rows, ["l_quantity", "l_extendedprice"], {"l_extendedprice": (0, 262144)})
 
 
 @query("SELECT event_id, round(value*90+10,6) AS value FROM events")
@@ -322,7 +322,7 @@ def triangle_edges(spark, sf):
 
 
 # --- extremes
-@query("SELECT user_id, block, value, at FROM (SELECT user_id, date_trunc('month', ts)::TIMESTAMP AS block, round(value,6) AS value, ts::TIMESTAMP AS at, row_number() OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY value DESC, ts) AS k FROM events) WHERE k=1")
+@query("SELECT user_id, block, value, peak_ts FROM (SELECT user_id, date_trunc('month', ts)::TIMESTAMP AS block, round(value,6) AS value, ts::TIMESTAMP AS peak_ts, row_number() OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY value DESC, ts) AS k FROM events) WHERE k=1")
 def monthly_maxima(spark, sf):
     return ex.block_maxima(table(spark, sf, "events"), "value", "ts", ["user_id"], "month")
 
@@ -342,7 +342,7 @@ def mean_residual_life(spark, sf):
     return ex.mean_excess(table(spark, sf, "events"), "value", [10, 50, 100])
 
 
-POT = "WITH o AS (SELECT *, value>=100 AS ov FROM events), n AS (SELECT *, CASE WHEN ov AND NOT coalesce(lag(ov) OVER (PARTITION BY user_id ORDER BY ts), false) THEN 1 ELSE 0 END AS nw FROM o), r AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM n), g AS (SELECT user_id, run, max(value) AS peak, arg_max(ts, value) AS t, count(*) AS n, sum(value-100) AS excess FROM r WHERE ov GROUP BY 1,2), e AS (SELECT *, sum(CASE WHEN epoch_us(t)-epoch_us(pt)>=3*86400e6 OR pt IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t)::BIGINT AS event FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS pt FROM g)) SELECT user_id, event, round(max(peak),6) AS peak, arg_max(t, peak)::TIMESTAMP AS at, sum(n)::BIGINT AS n, round(sum(excess),4) AS excess FROM e GROUP BY 1,2"
+POT = "WITH o AS (SELECT *, value>=100 AS ov FROM events), n AS (SELECT *, CASE WHEN ov AND NOT coalesce(lag(ov) OVER (PARTITION BY user_id ORDER BY ts), false) THEN 1 ELSE 0 END AS nw FROM o), r AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM n), g AS (SELECT user_id, run, max(value) AS peak, arg_max(ts, value) AS t, count(*) AS n, sum(value-100) AS excess FROM r WHERE ov GROUP BY 1,2), e AS (SELECT *, sum(CASE WHEN epoch_us(t)-epoch_us(pt)>=3*86400e6 OR pt IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t)::BIGINT AS event FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS pt FROM g)) SELECT user_id, event, round(max(peak),6) AS peak, arg_max(t, peak)::TIMESTAMP AS peak_ts, sum(n)::BIGINT AS n, round(sum(excess),4) AS excess FROM e GROUP BY 1,2"
 
 
 @query(POT)
