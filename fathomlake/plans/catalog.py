@@ -15,6 +15,8 @@ from fathomlake.operators import frames as fr
 from fathomlake.operators import joins as jn
 from fathomlake.operators import models as md
 from fathomlake.operators import series as se
+from fathomlake.operators import storms as st
+from fathomlake.sources import files
 from fathomlake.plans.inputs import WAVES, rounded, table, waves
 
 ENTRY = "event_type_probabilities"
@@ -438,3 +440,139 @@ def vortex_field(spark, sf):
 @query()
 def spectral_heights(spark, sf):
     return rounded(md.welch_heights(waves(spark, sf), "event_type", "id", "hs", 1.0), 4)
+
+
+# --- storms and wave families
+def _tracks(spark, sf):
+    return waves(spark, sf).select("id", C("user_id").alias("storm"), "ts", (C("lat1") / 3).alias("lat"), (C("lon1") / 6 + 100).alias("lon"), "pressure", "event_type", "hs", "tp", "dir")
+
+
+TRACKS = WAVES + ", k AS (SELECT id, user_id AS storm, ts, lat1/3 AS lat, lon1/6+100 AS lon, pressure, event_type, hs, tp, dir FROM w)"
+ARC = lambda a, b, c, d: f"degrees(2*atan2(sqrt(h({a},{b},{c},{d})), sqrt(1-h({a},{b},{c},{d}))))"
+
+
+def _arc(sql: str) -> str:
+    """h(lat1,lon1,lat2,lon2) written out."""
+    import re
+
+    one = r"sin(radians((\3)-(\1))/2)*sin(radians((\3)-(\1))/2)+cos(radians(\1))*cos(radians(\3))*sin(radians((\4)-(\2))/2)*sin(radians((\4)-(\2))/2)"
+    return re.sub(r"\bh\(([^,()]+),([^,()]+),([^,()]+),([^,()]+)\)", "least(1.0,greatest(0.0," + one + "))", sql)
+
+
+@query(_arc(f"WITH {TRACKS}, p AS (SELECT *, lag(lat) OVER o AS la, lag(lon) OVER o AS lo, (epoch_us(ts)-lag(epoch_us(ts)) OVER o)/3.6e9 AS hours FROM k WINDOW o AS (PARTITION BY storm ORDER BY ts)) SELECT id, round(radians({ARC('la', 'lo', 'lat', 'lon')})*6371,4) AS km, round(hours,4) AS hours FROM p"))
+def track_speed(spark, sf):
+    return rounded(st.track_speed(_tracks(spark, sf), "storm", "ts", "lat", "lon").select("id", "km", "hours"), 4)
+
+
+@query(_arc(f"WITH {TRACKS}, d AS (SELECT *, {ARC('lat', 'lon', '5.0', '130.0')} AS d FROM k) SELECT storm, count(*) AS n, min(ts)::TIMESTAMP AS entry, max(ts)::TIMESTAMP AS exit, round(min(pressure),6) AS min_pressure, round(avg(pressure),6) AS mean_pressure, round(min(d),6) AS nearest FROM d WHERE d<14 GROUP BY 1"))
+def circle_passages(spark, sf):
+    return st.circle_passages(_tracks(spark, sf), "storm", "ts", "lat", "lon", "pressure", (5.0, 130.0), 14)
+
+
+@query(f"WITH {TRACKS}, m AS (SELECT *, min(CASE WHEN lat BETWEEN 0 AND 10 AND lon BETWEEN 110 AND 125 THEN ts END) OVER (PARTITION BY storm) AS a, max(CASE WHEN lat BETWEEN 0 AND 10 AND lon BETWEEN 110 AND 125 THEN ts END) OVER (PARTITION BY storm) AS b FROM k) SELECT id, storm FROM m WHERE ts BETWEEN a AND b")
+def trim_to_box(spark, sf):
+    return st.trim_to_hits(_tracks(spark, sf), "storm", "ts", C("lat").between(0, 10) & C("lon").between(110, 125)).select("id", "storm")
+
+
+@query(f"WITH {TRACKS}, f AS (SELECT *, first_value(event_type) OVER (PARTITION BY storm ORDER BY ts) AS b FROM k) SELECT id FROM f WHERE b='view'")
+def first_basin(spark, sf):
+    return st.first_basin(_tracks(spark, sf), "storm", "ts", "event_type", "view").select("id")
+
+
+CATS = "CASE WHEN p<920 THEN 5 WHEN p<944 THEN 4 WHEN p<964 THEN 3 WHEN p<979 THEN 2 WHEN p<1000 THEN 1 ELSE 0 END"
+
+
+@query(f"WITH {TRACKS}, a AS (SELECT storm, {CATS} AS c FROM (SELECT storm, avg(pressure) AS p FROM k GROUP BY 1)), b AS (SELECT storm, {CATS} AS c FROM (SELECT storm, avg(pressure) AS p FROM k WHERE lat>20 AND lon<110 GROUP BY 1)), n AS (SELECT a.c AS before, coalesce(b.c,9) AS after, count(*) AS n FROM a LEFT JOIN b USING (storm) GROUP BY 1,2) SELECT before, after, n, round(n::DOUBLE/sum(n) OVER (PARTITION BY before)::DOUBLE,6) AS probability, round((sum(n) OVER (PARTITION BY before ORDER BY after))::DOUBLE/(sum(n) OVER (PARTITION BY before))::DOUBLE,6) AS cumulative FROM n")
+def category_changes(spark, sf):
+    k = _tracks(spark, sf)
+    cat = lambda d: d.groupBy("storm").agg(geo.storm_category(F.avg("pressure")).alias("c"))
+    return st.category_changes(cat(k), cat(k.filter("lat > 20 and lon < 110")), "storm", "c")
+
+
+@query("SELECT a, b, (SELECT count(*) FROM events WHERE user_id%6=a AND event_id%7=b) AS count FROM (SELECT unnest(range(6))::INT AS a) CROSS JOIN (SELECT unnest(range(8))::INT AS b)")
+def category_grid(spark, sf):
+    e = table(spark, sf, "events").select((C("user_id") % 6).cast("int").alias("a"), (C("event_id") % 7).cast("int").alias("b"))
+    return st.category_grid(e, "a", "b", list(range(6)), list(range(8)))
+
+
+FAM = "round(sqrt(sum(hs*hs)),6) AS hs, round(sqrt(sum(hs*hs)/sum(hs*hs/(tp*tp))),6) AS tp, round(fmod(degrees(atan2(sum(hs*hs*sin(radians(dir))),sum(hs*hs*cos(radians(dir)))))+360,360),6) AS dir"
+
+
+@query(f"WITH {WAVES} SELECT user_id, {FAM} FROM w GROUP BY 1")
+def wave_families(spark, sf):
+    return st.wave_families(waves(spark, sf), ["user_id"], "hs", "tp", "dir")
+
+
+@query(f"WITH {WAVES} SELECT user_id, CASE WHEN dir>=300 OR dir<60 THEN 0 WHEN dir>=60 AND dir<200 THEN 1 END AS sector, {FAM} FROM w WHERE dir>=300 OR dir<200 GROUP BY 1,2")
+def sector_families(spark, sf):
+    return st.sector_families(waves(spark, sf), ["user_id"], "hs", "tp", "dir", [(300, 60), (60, 200)])
+
+
+@query(f"WITH {WAVES}, p AS (SELECT event_type, (CASE WHEN hs>20 THEN 1 ELSE 0 END+CASE WHEN tp>10 THEN 2 ELSE 0 END)::INT AS pattern FROM w) SELECT event_type, pattern, count(*) AS n, round(count(*)::DOUBLE/(sum(count(*)) OVER (PARTITION BY event_type))::DOUBLE,6) AS probability FROM p GROUP BY 1,2")
+def presence_patterns(spark, sf):
+    w = waves(spark, sf).select("event_type", F.when(C("hs") > 20, C("hs")).alias("a"), F.when(C("tp") > 10, C("tp")).alias("b"))
+    return st.presence_patterns(w, "event_type", ["a", "b"])
+
+
+@query(RUNS.replace("g AS (SELECT user_id, run, any_value(event_type) AS event_type, min(ts) AS start, max(ts) AS \"end\", count(*) AS length FROM r GROUP BY 1,2) ", "g AS (SELECT user_id, run, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, run ORDER BY value DESC, event_id) AS nth FROM r) ") + "SELECT user_id, run, event_type, event_id, round(value,6) AS proxy FROM g WHERE nth=1")
+def run_maxima(spark, sf):
+    return st.run_maxima(table(spark, sf, "events"), "event_type", ["ts", "event_id"], ["user_id"], C("value"), "event_id")
+
+
+@query()
+def hydrographs(spark, sf):
+    return st.hydrographs(waves(spark, sf), "event_type", "ts", "hs", "tp", ["user_id"])
+
+
+@query("SELECT event_id, hour::INT AS hour, round(value*greatest(0,least(hour/10.0::DOUBLE/0.3, (1-hour/10.0::DOUBLE)/0.7)),6) AS level FROM events CROSS JOIN (SELECT unnest(range(11)) AS hour) WHERE event_id<100")
+def triangular_hydrograph(spark, sf):
+    e = table(spark, sf, "events").filter("event_id < 100").select("event_id", "value", F.lit(10.0).alias("h"), F.lit(0.3).alias("tau"))
+    return st.triangular_hydrograph(e, "event_id", "value", "h", "tau")
+
+
+@query()
+def interpolate_tracks(spark, sf):
+    return st.interpolate_tracks(_tracks(spark, sf).filter("storm % 20 = 0"), "storm", "ts", "lat", "lon", ["pressure"], 60)
+
+
+@query("SELECT (row_number() OVER (ORDER BY f, d)-1)::INT AS case_num, f::DOUBLE AS freq, d::DOUBLE AS dir, CASE WHEN 1/f>5 THEN 1.0 ELSE 0.1 END::DOUBLE AS hs FROM (VALUES (0.05),(0.1),(0.25)) a(f) CROSS JOIN (VALUES (0),(90),(180)) b(d)")
+def spectrum_cases(spark, sf):
+    return st.spectrum_cases(spark, [0.05, 0.1, 0.25], [0.0, 90.0, 180.0, 270.0], (0, 270))
+
+
+@query("SELECT t::DOUBLE AS t, round(cos(2*pi()*t/8)+0.25*cos(2*pi()*t/5),6)+0 AS level FROM (SELECT unnest(range(600)) AS t)")
+def regular_series(spark, sf):
+    return st.regular_series(spark, 2.0, 8.0, 0.5, 5.0, 600)
+
+
+@query()
+def random_phase_series(spark, sf):
+    return st.random_phase_series(spark, 2.0, 8.0, 600)
+
+
+@query("WITH k AS (SELECT l_linenumber%3 AS case_num, l_suppkey%5 AS site, 1 AS freq, 2 AS dir, avg(l_discount::DOUBLE) AS kp FROM lineitem GROUP BY 1,2), o AS (SELECT o_orderdate AS time, o_custkey%3 AS case_num, sum(o_totalprice)::DOUBLE/100000 AS energy FROM orders GROUP BY 1,2) SELECT time, site, freq, dir, round(sum(energy*kp),6) AS efth FROM o JOIN k USING (case_num) GROUP BY 1,2,3,4")
+def reconstruct_spectra(spark, sf):
+    k = table(spark, sf, "lineitem").groupBy((C("l_linenumber") % 3).alias("case_num"), (C("l_suppkey") % 5).alias("site"), F.lit(1).alias("freq"), F.lit(2).alias("dir")).agg(F.avg(C("l_discount").cast("double")).alias("kp"))
+    o = table(spark, sf, "orders").groupBy(C("o_orderdate").alias("time"), (C("o_custkey") % 3).alias("case_num")).agg((F.sum("o_totalprice").cast("double") / 100000).alias("energy"))
+    return files.reconstruct_spectra(o, k)
+
+
+@query()
+def direction_calibration(spark, sf):
+    w = waves(spark, sf).withColumn("sat", C("hs") * (1 + C("dir") / 3600))
+    return st.correct_heights(w, "hs", "dir", st.fit_direction_factors(w, "sat", "hs", "dir")).select("id", "hs_corrected")
+
+
+@query()
+def seasonal_gev_fits(spark, sf):
+    w = waves(spark, sf).withColumn("yf", se.year_fraction(C("ts")))
+    m = w.groupBy("user_id", F.date_trunc("day", "ts").alias("d"), "event_type").agg(F.max("hs").alias("hs"), F.first("yf").alias("yf"))
+    return rounded(st.seasonal_gev_fits(m, "hs", "yf", "event_type"), 3)
+
+
+@query()
+def autologistic_probabilities(spark, sf):
+    model, terms = st.autologistic_model(table(spark, sf, "events"), "event_type", "ts", ["user_id"])
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(terms).select("event_id", vector_to_array("probability")[0].alias("p_first"))
