@@ -75,6 +75,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", pattern: str | None = N
     """
     recipes = chunk_recipes(docs, text_col, pattern, identify)
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(groups, "groups")  # read back, so that both sides of the join are exchanged and a hot recipe can be split
     return recipes.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks")
     )
