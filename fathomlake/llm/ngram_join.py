@@ -321,6 +321,7 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, t
     links = texts.join(placed.hint("merge"), "rep").groupBy("part", "i", "j").applyInPandas(verify, "u bigint, v bigint")
     classes = connected_components(links)
     named = reps.join(classes, reps["rep"] == classes["node"], "left").select(reps["node"], F.coalesce("component", "rep").alias("component"))
+    named = stored(named, "named")  # read back, so that both sides of the join below are exchanged and a hot node can be split
     out = table.join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
