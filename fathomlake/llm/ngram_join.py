@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, stored, text_of
+from ._common import documents, release, stored, text_of
 from .components import connected_components
 from .tokens import whole
 
@@ -32,9 +32,9 @@ M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Growth from one band of set sizes to the next.
 BAND_GROWTH = 1.25
 #: Coordinates of a count vector, and points in a leaf of the tree.
-GROUPS, LEAF = 32, 32
+GROUPS, LEAF = 128, 32
 #: Shingles in a tile of a candidate component.
-TILE_SHINGLES = 2_000_000
+TILE_SHINGLES = 8_000_000
 #: Keys that a task holds before it hands them on.
 KEYS_HELD = 4_000_000
 KEY_BUCKETS = 1024
@@ -133,7 +133,7 @@ class CountTree:
     """R-tree over group counts, packed by size and then by coordinates; leaves and inner nodes keep coordinate maxima."""
 
     def __init__(self, points: np.ndarray, num: int, den: int):
-        self.num, self.den, self.points, self.sizes = num, den, points, points.sum(1)
+        self.num, self.den, self.points, self.sizes = num, den, points, points.sum(1, dtype=np.int64)
         order = np.argsort(self.sizes, kind="stable")
         slab = LEAF * LEAF
         parts = [order[i : i + slab] for i in range(0, len(order), slab)]
@@ -147,7 +147,7 @@ class CountTree:
 
     def _pass(self, q: np.ndarray, n: int, top: np.ndarray, small: np.ndarray, large: np.ndarray) -> np.ndarray:
         fits = (large * self.den >= n * self.num) & (small * self.num <= n * self.den)
-        bound = np.minimum(top, q).sum(1)
+        bound = np.minimum(top, q).sum(1, dtype=np.int64)
         return fits & (bound * (self.den + self.num) >= self.num * (n + np.maximum(small, -(-n * self.num // self.den))))
 
     def near(self, i: int) -> np.ndarray:
@@ -168,7 +168,8 @@ class CountTree:
 
 def group_counts(sets: list[np.ndarray]) -> np.ndarray:
     which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    return np.bincount(which * GROUPS + (mix(np.concatenate(sets)) % U(GROUPS)).astype(np.int64), minlength=len(sets) * GROUPS).reshape(-1, GROUPS)
+    counts = np.bincount(which * GROUPS + (mix(np.concatenate(sets)) % U(GROUPS)).astype(np.int64), minlength=len(sets) * GROUPS).reshape(-1, GROUPS)
+    return counts.astype(np.int32)
 
 
 def spanning_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -295,8 +296,8 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, t
     """
     table = stored(shingle_table(docs, width), "sets")
     reps = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    ties = candidate_ties(docs, width, num, den)
-    found = connected_components(ties)
+    found = connected_components(candidate_ties(docs, width, num, den))
+    release(docs.sparkSession)  # the keys' shuffle files
     members = found.union(found.select("component", "component").distinct()).toDF("node", "part")
     members = stored(members.join(reps.filter("rep is not null"), "node"), "members")
     parts = members.groupBy("part").agg(F.ceil(F.sum("n") / tile).cast("int").alias("tiles"), F.count(F.lit(1)).alias("k")).filter("k > 1")
