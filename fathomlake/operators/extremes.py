@@ -152,12 +152,24 @@ def gpd_fits(df: DataFrame, value: str, by: str, threshold: float, least: int =
     return df.filter(F.col(value) > threshold).select(by, value).groupBy(by).applyInPandas(fit, f"{by} {kind}, n long, scale double, shape double")
 
 
+#: Most block maxima that one bootstrap holds in the driver and in each Python worker (8 bytes each, a few copies while fitting).
+MOST_MAXIMA = 10_000_000
+
+
 def gev_return_levels(maxima: DataFrame, value: str, years: list[float], resamples: int = 100, level: float = 0.95, seed: int = 1) -> DataFrame:
-    """years, low, middle, high: bootstrap of the GEV's return levels. One series of maxima; resamples are spread over tasks."""
-    x = np.array([r[0] for r in maxima.select(F.col(value).cast("double")).orderBy(value).limit(10_000).collect()])
+    """years, low, middle, high: bootstrap of the GEV's return levels. One series of maxima; resamples are spread over tasks.
+
+    Every maximum is resampled (null and NaN are left out). More than MOST_MAXIMA raise ValueError.
+    """
+    v = F.col(value).cast("double").alias("v")
+    found = maxima.select(v).filter("v is not null and not isnan(v)").limit(MOST_MAXIMA + 1).toArrow()
+    if found.num_rows > MOST_MAXIMA:
+        raise ValueError(f"more than {MOST_MAXIMA} block maxima: take longer blocks or one series at a time")
     spark = maxima.sparkSession
+    held = spark.sparkContext.broadcast(np.sort(found["v"].to_numpy()))
 
     def resample(parts):
+        x = held.value
         for p in parts:
             rows = []
             for i in p["id"]:

@@ -179,3 +179,15 @@ def test_streams_equal_tables(spark, tmp_path):
     q = t.writeStream.outputMode("append").format("memory").queryName("s_t").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("s_t").count() == rows.count() - rows.select("user_id").distinct().count()
+
+
+def test_return_levels_use_every_maximum(spark, monkeypatch):
+    n = 12_000
+    x = 5 + 2 / 0.1 * ((-np.log((np.arange(n) + 0.5) / n)) ** -0.1 - 1)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "g double")
+    levels = {r["years"]: r for r in ex.gev_return_levels(df, "g", [10.0, 100.0], resamples=8).collect()}
+    for t, r in levels.items():
+        assert r["middle"] == pytest.approx(5 + 2 / 0.1 * ((-math.log(1 - 1 / t)) ** -0.1 - 1), rel=0.02)
+    monkeypatch.setattr(ex, "MOST_MAXIMA", n - 1)
+    with pytest.raises(ValueError):
+        ex.gev_return_levels(df, "g", [10.0], resamples=2)
