@@ -230,9 +230,15 @@ def _hours(spark, sf):
 
 @query(f"WITH {HOURS}, n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM h) SELECT user_id, unnest(generate_series(ts, coalesce(nx - INTERVAL 1 MICROSECOND, ts), INTERVAL 1 HOUR)) AS ts, v FROM n WHERE user_id % 20 = 0")
 def forward_fill_hourly(spark, sf):
+    """The series that the SQL checks, a twentieth; forward_fill_hourly_all fills every one."""
     return se.forward_fill(_hours(spark, sf).filter("user_id % 20 = 0"), "ts", ["v"], "1 hour", ["user_id"])
 
 
+@query()
+def forward_fill_hourly_all(spark, sf):
+    return se.forward_fill(_hours(spark, sf), "ts", ["v"], "1 hour", ["user_id"])
+
+
 @query("WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS ts, max(value) AS v FROM events WHERE event_type='signup' GROUP BY 1), s AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM d) SELECT s.ts, round(last_value(d.v IGNORE NULLS) OVER (ORDER BY s.ts),6) AS v FROM s LEFT JOIN d ON s.ts=d.ts")
 def pad_daily(spark, sf):
     d = table(spark, sf, "events").filter("event_type = 'signup'").groupBy(F.date_trunc("day", "ts").alias("ts")).agg(F.max("value").alias("v"))

@@ -191,3 +191,18 @@ def test_return_levels_use_every_maximum(spark, monkeypatch):
     monkeypatch.setattr(ex, "MOST_MAXIMA", n - 1)
     with pytest.raises(ValueError):
         ex.gev_return_levels(df, "g", [10.0], resamples=2)
+
+
+def test_forward_fill_fills_every_series(spark):
+    hours = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", (F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).cast("long").alias("h"), "value").collect():
+        hours.setdefault(r.user_id, {}).setdefault(r.h, []).append(r.value)
+    want = {}
+    for user, at in hours.items():
+        known = sorted(at)
+        for a, b in zip(known, known[1:] + [known[-1] + 1]):
+            want |= {(user, h): max(at[a]) for h in range(a, b)}
+    rows = catalog.QUERIES["forward_fill_hourly_all"](spark, SF).select("user_id", (F.unix_timestamp("ts") / 3600).cast("long").alias("h"), "v").collect()
+    got = {(r.user_id, r.h): r.v for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
