@@ -115,10 +115,10 @@ def triangular_hydrograph(df: DataFrame, rid: str, peak: str, hours: str, tau: s
 
 
 def interpolate_tracks(df: DataFrame, storm: str, time: str, lat: str, lon: str, values: list[str], minutes: int) -> DataFrame:
-    """Positions every ``minutes`` between fixes along great circles, values on straight lines."""
+    """Positions every ``minutes`` between fixes along great circles, values on straight lines. Fixes of one time have none between them."""
     w = Window.partitionBy(storm).orderBy(time)
     nxt = lambda c: F.lead(c).over(w)
-    rows = df.select(storm, time, lat, lon, *values, nxt(time).alias("__t"), nxt(lat).alias("__lat"), nxt(lon).alias("__lon"), *[nxt(v).alias(f"__{v}") for v in values]).filter("__t is not null")
+    rows = df.select(storm, time, lat, lon, *values, nxt(time).alias("__t"), nxt(lat).alias("__lat"), nxt(lon).alias("__lon"), *[nxt(v).alias(f"__{v}") for v in values]).filter(F.col("__t") > F.col(time))
     arc, course = geo.arc_distance(F.col(lat), F.col(lon), F.col("__lat"), F.col("__lon")), geo.azimuth(F.col(lat), F.col(lon), F.col("__lat"), F.col("__lon"))
     stop = F.col("__t") - F.expr("interval 1 microsecond")
     steps = rows.select("*", arc.alias("__arc"), course.alias("__course"), F.explode(F.sequence(F.col(time), stop, F.expr(f"interval {minutes} minutes"))).alias("at_time"))

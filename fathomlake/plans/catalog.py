@@ -538,7 +538,7 @@ def triangular_hydrograph(spark, sf):
 
 @query()
 def interpolate_tracks(spark, sf):
-    return st.interpolate_tracks(_tracks(spark, sf).filter("storm % 20 = 0"), "storm", "ts", "lat", "lon", ["pressure"], 60)
+    return st.interpolate_tracks(_tracks(spark, sf), "storm", "ts", "lat", "lon", ["pressure"], 60)
 
 
 @query("SELECT (row_number() OVER (ORDER BY f, d)-1)::INT AS case_num, f::DOUBLE AS freq, d::DOUBLE AS dir, CASE WHEN 1/f>5 THEN 1.0 ELSE 0.1 END::DOUBLE AS hs FROM (VALUES (0.05),(0.1),(0.25)) a(f) CROSS JOIN (VALUES (0),(90),(180)) b(d)")

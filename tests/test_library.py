@@ -13,6 +13,7 @@ from fathomlake.operators import frames as fr
 from fathomlake.operators import joins as jn
 from fathomlake.operators import models as md
 from fathomlake.operators import series as se
+from fathomlake.operators import storms as st
 from fathomlake.plans import catalog
 from fathomlake.sources import files
 from fathomlake.streaming import windows
@@ -206,3 +207,51 @@ def test_forward_fill_fills_every_series(spark):
     got = {(r.user_id, r.h): r.v for r in rows}
     assert len(rows) == len(got) and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
+def brute_track(fixes, minutes):
+    """(second, lat, lon, pressure) every ``minutes`` from each fix to the next, on the chord's great circle."""
+    vec = lambda la, lo: np.array([math.cos(math.radians(la)) * math.cos(math.radians(lo)), math.cos(math.radians(la)) * math.sin(math.radians(lo)), math.sin(math.radians(la))])
+    out = []
+    for (ta, la, lo, pa), (tb, lb, lob, pb) in zip(fixes, fixes[1:]):
+        a, b = vec(la, lo), vec(lb, lob)
+        d = math.atan2(np.linalg.norm(np.cross(a, b)), float(a @ b))
+        t = ta
+        while t < tb:
+            f = (t - ta) / (tb - ta)
+            v = (math.sin((1 - f) * d) * a + math.sin(f * d) * b) / math.sin(d) if d > 1e-12 else a
+            out.append((t, math.degrees(math.asin(v[2])), math.degrees(math.atan2(v[1], v[0])), pa + (pb - pa) * f))
+            t += 60 * minutes
+    return out
+
+
+def assert_tracks(got, fixes, minutes):
+    assert {s for s, f in fixes.items() if len({t for t, *_ in f}) > 1} == {s for s, *_ in got}
+    for storm, points in fixes.items():
+        rows = sorted(x[1:] for x in got if x[0] == storm)
+        want = brute_track(sorted(points), minutes)
+        assert len(rows) == len(want)
+        for g, w in zip(rows, want):
+            assert g[0] == pytest.approx(w[0]) and g[1] == pytest.approx(w[1], abs=1e-4) and g[3] == pytest.approx(w[3], abs=1e-4)
+            assert abs((g[2] - w[2] + 180) % 360 - 180) * math.cos(math.radians(w[1])) < 1e-4
+
+
+def seconds(df, storm="storm"):
+    return [tuple(r) for r in df.select(storm, F.unix_micros("ts") / 1e6, "lat", "lon", "pressure").collect()]
+
+
+def test_interpolated_tracks_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    fixes = {k: [(float(t), float(rng.uniform(-60, 60)), float(rng.uniform(-180, 180)), float(rng.uniform(900, 1000))) for t in sorted(rng.choice(90_000, 5, replace=False))] for k in (3, 20, 21)}
+    fixes[4] = [(0.0, 10.0, 20.0, 990.0)]
+    fixes[5] = [(0.0, 10.0, 20.0, 990.0), (0.0, 10.0, 20.0, 990.0), (7200.0, 12.0, 22.0, 980.0)]
+    rows = [(k, *x) for k, f in fixes.items() for x in f]
+    df = spark.createDataFrame(rows, "storm int, s double, lat double, lon double, pressure double").withColumn("ts", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
+    assert_tracks(seconds(st.interpolate_tracks(df, "storm", "ts", "lat", "lon", ["pressure"], 60)), fixes, 60)
+
+
+def test_interpolate_tracks_query_takes_every_storm(spark):
+    fixes = {}
+    for s, *x in seconds(catalog._tracks(spark, SF)):
+        fixes.setdefault(s, []).append(tuple(x))
+    assert_tracks(seconds(catalog.QUERIES["interpolate_tracks"](spark, SF)), fixes, 60)
