@@ -532,10 +532,17 @@ def hydrographs(spark, sf):
 
 @query("SELECT event_id, hour::INT AS hour, round(value*greatest(0,least(hour/10.0::DOUBLE/0.3, (1-hour/10.0::DOUBLE)/0.7)),6) AS level FROM events CROSS JOIN (SELECT unnest(range(11)) AS hour) WHERE event_id<100")
 def triangular_hydrograph(spark, sf):
+    """The events that the SQL checks, a hundred; triangular_hydrograph_all takes every one."""
     e = table(spark, sf, "events").filter("event_id < 100").select("event_id", "value", F.lit(10.0).alias("h"), F.lit(0.3).alias("tau"))
     return st.triangular_hydrograph(e, "event_id", "value", "h", "tau")
 
 
+@query()
+def triangular_hydrograph_all(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "value", F.lit(10.0).alias("h"), F.lit(0.3).alias("tau"))
+    return st.triangular_hydrograph(e, "event_id", "value", "h", "tau")
+
+
 @query()
 def interpolate_tracks(spark, sf):
     return st.interpolate_tracks(_tracks(spark, sf), "storm", "ts", "lat", "lon", ["pressure"], 60)

@@ -255,3 +255,14 @@ def test_interpolate_tracks_query_takes_every_storm(spark):
     for s, *x in seconds(catalog._tracks(spark, SF)):
         fixes.setdefault(s, []).append(tuple(x))
     assert_tracks(seconds(catalog.QUERIES["interpolate_tracks"](spark, SF)), fixes, 60)
+
+
+def test_triangular_hydrograph_takes_every_event(spark):
+    want = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "value").collect():
+        for hour in range(11):
+            want[r.event_id, hour] = r.value * (hour / 3 if hour <= 3 else (10 - hour) / 7)
+    rows = catalog.QUERIES["triangular_hydrograph_all"](spark, SF).collect()
+    got = {(r.event_id, r.hour): r.level for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
