@@ -1,9 +1,11 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into blocks of text. A linear classifier gives each block a score; a positive score is the
-capacity of its edge from the source (content), a negative one that of its edge to the sink (boilerplate).
-Neighbouring blocks, and blocks of one parent element, are tied by smoothness edges. The blocks on the
-source's side of a minimum cut, found by max-flow, are the article.
+A page is read into blocks of text. A linear classifier over a block's own features (length, share of links, end, kind
+of element, share of the page's text that its container holds, and what the elements around it are called) gives it a
+score; a positive score is the capacity of its edge from the source (content), a negative one that of its edge to the sink
+(boilerplate). Smoothness edges of the same size tie neighbours by their distance in the tree of elements, and blocks of one
+container. The blocks on the source's side of a minimum cut, found by max-flow, are the article: a headline or a short
+line of it stays for its neighbours' sake, and a long sentence of a menu goes with the menu.
 """
 
 from __future__ import annotations
@@ -33,12 +35,19 @@ BAD_NAMES = frozenset(
     "share sharing social follow toolbar tags tagcloud skip search searchbox masthead topbar bottombar metanav feedback rating ratings survey form".split()
 )
 GOOD_NAMES = frozenset("article articlebody post postbody entry story content maincontent main body bodytext text prose".split())
-#: Scores in hundredths of a nat.
-INSIDE, NAMED, OUTSIDE, BAD, HEADER, BIAS, LINKS, SHORT, ENDED, PER_CHAR, MOST_CHARS = 700, 250, -600, -1600, -900, -100, -300, -80, 40, 0.5, 400
-#: Smoothness: neighbours in page order, and more if they share the parent; earlier block of the same parent.
-NEAR, SIBLING, SAME_PARENT, APART = 60, 120, 40, 5
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</\s*(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Elements that hold a line of running text, and headings among them.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_TAGS = HEADINGS | frozenset("p li blockquote pre dt dd figcaption caption td th summary address".split())
+#: Scores in hundredths of a nat: for every block; for the kinds of elements and names around it; for its links; for a short
+#: one without an end; for one with an end; for a heading; for the share of the page's text in its container; for each
+#: character, up to a number of characters.
+BIAS, INSIDE, OUTSIDE, BAD, HEADER, BAD_NAME, GOOD_NAME = -140, 300, -300, -600, -450, -500, 250
+LINKS, SHORT, ENDED, HEADING, SHARE, PER_CHAR, MOST_CHARS = -300, -80, 40, 60, 150, 0.5, 400
+#: Smoothness of neighbours by their distance in the tree, from 0 on; a part of it where their elements are of other kinds;
+#: blocks of one container that aren't neighbours; neighbours across the border of an article, a menu and the like.
+NEAR, OTHER_KIND, CONTAINER, APART = (250, 250, 200, 100, 60, 30), 0.3, 40, 5
+
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</\s*(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<odd>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -50,18 +59,28 @@ ENDS = {
 
 
 class Block:
-    __slots__ = ("chars", "links", "parent", "parts", "score", "text", "zone")
+    """A piece of text: ``path`` has the numbers of the block elements around it, ``kind`` its own element's tag."""
+
+    __slots__ = ("bad", "chars", "good", "inside", "kind", "links", "parts", "path", "score", "text")
+
+    def __init__(self, path: tuple[int, ...], around: _Open, kind: str):
+        self.path, self.kind, self.parts, self.links = path, kind, [], 0
+        self.bad, self.good, self.inside = around.bad, around.good, around.inside
 
-    def __init__(self, parent: int, zone: tuple):
-        self.parent, self.zone, self.parts, self.links = parent, zone, [], 0
+    @property
+    def container(self) -> int:
+        """The element around a line of text, or a block's own."""
+        return self.path[-2] if self.kind in TEXT_TAGS and len(self.path) > 1 else self.path[-1]
 
 
 class _Open:
-    __slots__ = ("bad", "drop", "good", "inside", "link", "number", "tag")
+    __slots__ = ("bad", "drop", "good", "inside", "link", "number", "path", "tag")
 
     def __init__(self, tag: str, number: int, over: _Open | None):
         self.tag, self.number = tag, number
-        self.bad, self.good, self.inside, self.drop, self.link = (over.bad, over.good, over.inside, over.drop, over.link) if over else (0, False, False, False, False)
+        self.bad, self.good, self.inside, self.drop, self.link, self.path = (over.bad, over.good, over.inside, over.drop, over.link, over.path) if over else (0, False, False, False, False, (0,))
+        if tag in BLOCK:
+            self.path = (*self.path, number)
 
 
 def _opened(tag: str, attrs: str, number: int, over: _Open) -> _Open:
@@ -86,8 +105,10 @@ def _opened(tag: str, attrs: str, number: int, over: _Open) -> _Open:
     if tag not in ("html", "body"):
         if tag in ("article", "main") or role in ("main", "article"):
             el.inside = True
-        if tag in BAD_TAGS or role in BAD_ROLES or names & BAD_NAMES:
+        if tag in BAD_TAGS or role in BAD_ROLES:
             el.bad = BAD
+        elif names & BAD_NAMES:
+            el.bad = min(over.bad, BAD_NAME)
         elif (tag == "header" or "header" in names) and not over.inside:
             el.bad = min(over.bad, HEADER)
         if names & GOOD_NAMES and not names & BAD_NAMES:
@@ -108,8 +129,7 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if raw.isspace():
                 return
-            holder = next((e for e in reversed(stack) if e.tag in BLOCK or e is root))
-            current = Block(holder.number, (top.bad, top.good, top.inside))
+            current = Block(top.path, top, next((e.tag for e in reversed(stack) if e.tag in BLOCK), ""))
             blocks.append(current)
         raw = html.unescape(raw)
         current.parts.append(raw)
@@ -121,8 +141,8 @@ def blocks_of(page: str) -> list[Block]:
         at = m.end()
         if m["cdata"] is not None:
             text(m["cdata"])
-        elif m["tag"] is not None:
-            tag = m["tag"].lower()
+        elif (name := m["tag"] or m["odd"]) is not None:  # an odd tag has a quote that nothing ends: its attributes aren't read
+            tag, attrs = name.lower(), m["attrs"] or ""
             if tag in BLOCK:
                 current = None
                 if tag in ENDS:
@@ -148,11 +168,11 @@ def blocks_of(page: str) -> list[Block]:
                         break
                     if stack[k].tag in BLOCK:
                         break
-            if tag not in VOID and not (m["attrs"].endswith("/") and tag not in BLOCK | DROP):
+            if tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK | DROP):
                 count += 1
                 if tag == "body":  # whatever the head left open ends here
                     del stack[1:]
-                stack.append(_opened(tag, m["attrs"], count, stack[-1]))
+                stack.append(_opened(tag, attrs, count, stack[-1]))
                 if tag in RAW:
                     end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
                     at = end.start() if end else len(page)
@@ -179,16 +199,32 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def scores_of(blocks: list[Block]) -> None:
-    has_inside = any(b.zone[2] and not b.zone[0] for b in blocks)
+    has_inside = any(b.inside and not b.bad for b in blocks)
+    held: dict[int, int] = {}
     for b in blocks:
-        bad, good, inside = b.zone
-        s = BIAS + bad + (INSIDE if inside else OUTSIDE if has_inside else 0) + NAMED * good
-        s += PER_CHAR * min(b.chars, MOST_CHARS) + LINKS * min(1.0, b.links / b.chars)
+        held[b.container] = held.get(b.container, 0) + max(0, b.chars - b.links)
+    total = max(1, sum(held.values()))
+    for b in blocks:
+        s = BIAS + b.bad + (INSIDE if b.inside else OUTSIDE if has_inside else 0) + GOOD_NAME * b.good + HEADING * (b.kind in HEADINGS)
+        s += PER_CHAR * min(b.chars, MOST_CHARS) + LINKS * min(1.0, b.links / b.chars) + SHARE * held[b.container] / total
         ended = b.text[-1] in ".!?:;…\"”»)"
         s += ENDED if ended else SHORT if b.chars < 40 else 0
         b.score = round(s)
 
 
+def closeness(a: Block, b: Block) -> int:
+    """Smoothness of two neighbours."""
+    if bool(a.bad) != bool(b.bad) or a.inside != b.inside:
+        return APART
+    common = 0
+    for x, y in zip(a.path, b.path):
+        if x != y:
+            break
+        common += 1
+    near = NEAR[min(len(a.path) + len(b.path) - 2 * common, len(NEAR) - 1)]
+    return near if (a.kind in TEXT_TAGS) == (b.kind in TEXT_TAGS) else round(near * OTHER_KIND)
+
+
 class MaxFlow:
     """Dinic's algorithm on a small graph with integer capacities."""
 
@@ -253,12 +289,13 @@ def labels_of(blocks: list[Block]) -> list[bool]:
         elif b.score < 0:
             flow.edge(i, n + 1, -b.score)
         if i:
-            a = blocks[i - 1]
-            w = APART if bool(a.zone[0]) != bool(b.zone[0]) or a.zone[2] != b.zone[2] else NEAR + SIBLING * (a.parent == b.parent)
+            w = closeness(blocks[i - 1], b)
             flow.edge(i - 1, i, w, w)
-        if (k := last.get(b.parent)) is not None and k != i - 1:
-            flow.edge(k, i, SAME_PARENT, SAME_PARENT)
-        last[b.parent] = i
+        k = last.get(b.container)
+        if k is not None and k != i - 1:
+            w = min(CONTAINER, closeness(blocks[k], b))
+            flow.edge(k, i, w, w)
+        last[b.container] = i
     return flow.run(n, n + 1)[:n]
 
 

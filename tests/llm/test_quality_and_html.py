@@ -5,7 +5,7 @@ import re
 
 import pytest
 import xxhash
-from fathomlake.llm.html_text import MaxFlow, extract_text, main_text
+from fathomlake.llm.html_text import MaxFlow, blocks_of, extract_text, labels_of, main_text, scores_of
 from fathomlake.llm.quality import quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,6 +80,45 @@ def test_article_is_found(wrap):
     assert main_text(PAGE % (wrap % BODY)) == WANT
 
 
+def scrambled_page(rng):
+    """A page of div elements whose class names say nothing, and the blocks of its article."""
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n)).capitalize()
+    box = lambda inner: f'<div class="{word()}" id="{word()}">{inner}</div>'
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/x>{line(rng.randint(1, 4))}</a></li>" for _ in range(n)) + "</ul>"
+    article = [line(rng.randint(4, 9))] + [line(rng.choice([1, 2, 20, 35, 60, 90])) + "." for _ in range(rng.randint(6, 12))]
+    body = f"<h1>{article[0]}</h1>" + "".join(f"<p>{x}</p>" for x in article[1:])
+    comments = box("".join(box(f"<a href=/u>{word()}</a><p>{line(rng.randint(3, 12))}.</p>") for _ in range(rng.randint(0, 6))))
+    side = box(f"<h3>{line(2)}</h3>" + links(rng.randint(3, 8)) + f"<p>{line(8)}.</p>")
+    page = box(f"<div>{line(2)}</div>") + box(links(6)) + box(box(body) + rng.choice([side, ""])) + comments + side + box(f"&copy; {line(5)} <a href=/i>{line(2)}</a>")
+    return f"<html><body>{page}</body></html>", article
+
+
+def test_cut_finds_articles_without_names():
+    rng = random.Random(5)
+    hit = found = planted = relabelled = 0
+    for _ in range(200):
+        page, article = scrambled_page(rng)
+        blocks = blocks_of(page)
+        scores_of(blocks)
+        relabelled += sum((b.score > 0) != keep for b, keep in zip(blocks, labels_of(blocks)))
+        got = collections.Counter(main_text(page).split("\n\n"))
+        want = collections.Counter(article)
+        hit, found, planted = hit + (got & want).total(), found + got.total(), planted + want.total()
+    assert hit / planted >= 0.98 and hit / found >= 0.95 and relabelled > 100, (hit / planted, hit / found, relabelled)
+
+
+def test_short_lines_of_an_article_stay():
+    long = "A sentence of the article that goes on for quite a while, as they do, until it ends."
+    got = main_text(f"<div class=q><h1>Short headline</h1><p>{long}</p><p>Yes</p><p>{long}</p><p>No one</p><p>{long}</p></div><div class=z><a href=/>Home</a></div>")
+    assert got == f"Short headline\n\n{long}\n\nYes\n\n{long}\n\nNo one\n\n{long}"
+
+
+@pytest.mark.parametrize("page", ['<article><p title="x>Hello there, this is text.</p></article>', "<article><p data-a='>Hello there, this is text.</article>", '<article><p a="b" c="x>Hello there, this is text.<br></p>'])
+def test_a_quote_without_end_leaves_no_markup(page):
+    assert main_text(page) == "Hello there, this is text."
+
+
 def test_edge_pages(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "plain words that stand alone in a page without any markup, and that go on for a while.", "x"), (3, "u", "<p", "x"), (4, "u", "<article><p>Unclosed <b>text of some length, with a stop.", "x"), (None, "u", "<script>x", "x"), (5, "u", "<article>" + "<p>Long. </p>" * 3000, "x")]
     got = extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
