@@ -4,6 +4,9 @@ Words and word pairs are hashed to buckets. Two multinomials over the buckets ar
 tables: one of the trusted documents (labelled good), one of the raw corpus. A document's score is the mean
 of log p_trusted - log p_raw over its n-grams, so that length cancels; one fixed threshold decides for
 every document. Weights are rounded to millionths and summed as integers: the order of rows can't matter.
+
+The trusted multinomial has the corpus as its prior, worth PRIOR n-grams: with few trusted texts the two are alike and the
+verdict keeps what the base rules keep. It tells junk from the rest once the trusted texts have about as many n-grams.
 """
 
 from __future__ import annotations
@@ -11,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, WORD, documents, held, let, text_of, words_of, stored
+from ._common import SPACE, WORD, documents, held, let, text_of, words_of
 
 #: The table of weights has at most this many rows, whatever the corpus: a proven bound for broadcasting.
 BUCKETS = 1 << 15
-SMOOTHING = 5.0
+PRIOR = 163_840.0
 #: Mean log ratio under which a document is rejected.
 THRESHOLD = -0.1
 MIN_WORDS = 50
@@ -24,23 +27,38 @@ SYMBOLS = "#*$%&|<>"
 SCALE = 1_000_000
 
 
+def bucket_of(gram: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(gram), F.lit(buckets)).cast("int")
+
+
+def _pair(words: Column, word: Column, i: Column) -> Column:
+    """A word and its follower; null for the last."""
+    return F.concat(word, F.lit(" "), F.get(words, i + 1))
+
+
 def features(words: Column, buckets: int = BUCKETS) -> Column:
     """Bucket numbers of all words and of all pairs of neighbours."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")))
-    return F.concat(single, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    single = F.transform(words, lambda w: bucket_of(w, buckets))
+    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: bucket_of(_pair(words, w, i), buckets))
+    return F.concat(single, pairs)
+
+
+def summed(words: Column, weights: Column, buckets: int) -> Column:
+    """Sum of the weights of all words and of all pairs of neighbours."""
+    of = lambda gram: F.coalesce(F.get(weights, bucket_of(gram, buckets)), F.lit(0))
+    return F.aggregate(F.transform(words, lambda w, i: (of(w) + of(_pair(words, w, i))).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def repeated_words(words: Column) -> Column:
     """Number of words that lie in a three-word window found twice or more in the text."""
 
-    def covered(windows: Column) -> Column:
-        order = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    def covered(hashes: Column) -> Column:
+        """Windows with one hash are neighbours in this order, and told apart by their words."""
         at = let(
-            order,
+            F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")))),
             lambda s: F.sort_array(
                 F.transform(
-                    F.filter(s, lambda x, k: (F.get(s, k - 1)["w"] == x["w"]) | (F.get(s, k + 1)["w"] == x["w"])),
+                    F.filter(s, lambda x, k: ((F.get(s, k - 1)["h"] == x["h"]) & (F.get(s, k - 1)["w"] == x["w"])) | ((F.get(s, k + 1)["h"] == x["h"]) & (F.get(s, k + 1)["w"] == x["w"]))),
                     lambda x: x["i"],
                 )
             ),
@@ -52,12 +70,10 @@ def repeated_words(words: Column) -> Column:
             lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).cast("long").alias("n"), i.alias("last")),
             lambda a: a["n"],
         )
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(total)
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(total)
 
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(windows(words), covered))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(hashes, covered))
 
 
 def base_columns(text: Column, words: Column) -> dict[str, Column]:
@@ -83,7 +99,7 @@ def _counted(docs: DataFrame, buckets: int, name: str) -> DataFrame:
     return found.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """bucket, weight: the log ratio in millionths, for each bucket that the corpus fills.
 
     The raw counts are of all rows of ``docs``, the trusted ones of those whose doc_id ``trusted`` has. Without
@@ -96,12 +112,19 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
     counts = _counted(texts, buckets, "raw").join(_counted(good, buckets, "good"), "bucket", "left").fillna(0, ["good"])
     whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counts = counts.withColumn("all_raw", F.sum("raw").over(whole)).withColumn("all_good", F.sum("good").over(whole))
-    ratio = F.log((F.col("good") + smoothing) / (F.col("all_good") + smoothing * buckets)) - F.log((F.col("raw") + smoothing) / (F.col("all_raw") + smoothing * buckets))
-    return counts.select("bucket", F.when(F.col("all_good") > 0, F.round(ratio * SCALE)).otherwise(0).cast("long").alias("weight"))
+    share = F.col("raw") / F.col("all_raw")
+    ratio = F.log((F.col("good") + prior * share) / (F.col("all_good") + prior)) - F.log(share)
+    return counts.select("bucket", F.round(ratio * SCALE).cast("long").alias("weight"))
+
+
+def weight_table(weights: DataFrame, buckets: int) -> Column:
+    """The weights as one array by bucket, a constant of the plan: ``buckets`` whole numbers, whatever the corpus."""
+    known = {r["bucket"]: r["weight"] for r in weights.collect()}
+    return F.split(F.lit(",".join(str(known.get(k, 0)) for k in range(buckets))), ",").cast("array<int>")
 
 
 def quality_rules(
-    docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD, min_words: int = MIN_WORDS
+    docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD, min_words: int = MIN_WORDS
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, the five base counts, base_failed, score, kept.
 
@@ -110,15 +133,14 @@ def quality_rules(
     no words and fails; rows that repeat a doc_id are judged each by their own text; an empty ``trusted`` leaves
     the base rules alone; no rows give none; other columns are ignored.
     """
-    weights = stored(bucket_weights(docs, trusted, buckets, smoothing), "weights")
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("__row"), text_of(docs).alias("__text"))
-    rows = rows.select("doc_id", "__row", "__text", held(words_of(F.col("__text"))).alias("__words"))
-    rows = rows.select("doc_id", "__row", held(F.struct(*[c.alias(k) for k, c in base_columns(F.col("__text"), F.col("__words")).items()])).alias("b"), features(F.col("__words"), buckets).alias("__f"))
-    rows = rows.select("doc_id", "__row", *[F.col(f"b.{c}").alias(c) for c in BASE], F.explode_outer("__f").alias("bucket"))
-    scored = rows.join(F.broadcast(weights), "bucket", "left").groupBy("__row", "doc_id", *BASE).agg(F.sum("weight").alias("sum"), F.count("bucket").alias("n"))
-    score = F.coalesce(F.col("sum") / SCALE / F.greatest(F.col("n"), F.lit(1)), F.lit(0.0))
+    table = weight_table(bucket_weights(docs, trusted, buckets, prior), buckets)
+    rows = docs.select("doc_id", text_of(docs).alias("__text"))
+    rows = rows.select("doc_id", "__text", held(words_of(F.col("__text"))).alias("__words"))
+    counts = F.struct(*[c.alias(k) for k, c in base_columns(F.col("__text"), F.col("__words")).items()], summed(F.col("__words"), table, buckets).alias("sum"))
+    rows = rows.select("doc_id", held(counts).alias("b")).select("doc_id", "b.*")
+    score = F.col("sum") / SCALE / F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = scored.select("doc_id", *BASE, failed.alias("base_failed"), score.alias("score"))
+    out = rows.select("doc_id", *BASE, failed.alias("base_failed"), score.alias("score"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
@@ -128,3 +150,50 @@ def trusted_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), trusted_of(spark, sf_dir)).drop("score")
+
+
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), l AS (
+  SELECT r, unnest(string_split(t, chr(10))) AS line FROM d
+), dup AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), w AS (
+  SELECT r, unnest(x) AS word, unnest(range(len(x))) AS pos FROM (SELECT r, regexp_extract_all(t, '{WORD}') AS x FROM d)
+), n AS (
+  SELECT r, pos, word, lead(word) OVER o AS next, lead(word, 2) OVER o AS after FROM w WINDOW o AS (PARTITION BY r ORDER BY pos)
+), often AS (
+  SELECT r, pos FROM (SELECT r, pos, count(*) OVER (PARTITION BY r, word, next, after) AS k FROM n WHERE after IS NOT NULL) WHERE k > 1
+), cover AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([pos, pos + 1, pos + 2]) AS p FROM often) GROUP BY r
+), g AS (
+  SELECT r, word AS gram FROM n UNION ALL SELECT r, word || ' ' || next FROM n WHERE next IS NOT NULL
+), hexed AS (
+  SELECT gram, hex(gram) AS h FROM (SELECT DISTINCT gram FROM g)
+), steps AS (
+  SELECT gram, [4294967295::BIGINT] || flatten(list_transform(range(len(h) // 2), lambda i: [('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS s FROM hexed
+), hashed AS (
+  SELECT gram, xor(list_reduce(s, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT) % {BUCKETS} AS bucket FROM steps
+), b AS (
+  SELECT g.r, hashed.bucket FROM g JOIN hashed USING (gram)
+), good AS (
+  SELECT r FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)
+), raw AS (
+  SELECT bucket, count(*) AS raw, count(*) FILTER (r IN (SELECT r FROM good)) AS good FROM b GROUP BY bucket
+), total AS (
+  SELECT sum(raw)::DOUBLE AS raw, sum(good)::DOUBLE AS good FROM raw
+), weight AS (
+  SELECT bucket, round((ln((raw.good + {PRIOR} * (raw.raw / total.raw)) / (total.good + {PRIOR})) - ln(raw.raw / total.raw)) * {SCALE})::BIGINT AS weight FROM raw, total
+), score AS (
+  SELECT r, sum(weight)::BIGINT AS s FROM b JOIN weight USING (bucket) GROUP BY r
+), c AS (
+  SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(s, 0) / {SCALE}::DOUBLE / greatest(2 * coalesce(k.n_words, 0) - 1, 1) AS score
+  FROM d LEFT JOIN (SELECT r, count(*) AS n_words FROM w GROUP BY r) k USING (r) LEFT JOIN dup USING (r) LEFT JOIN cover USING (r) LEFT JOIN score USING (r)
+), f AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= {THRESHOLD} AS kept FROM f
+"""

@@ -8,7 +8,7 @@ from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import OP5_SQL, op5_mix_sources
 from .ngram_join import op4_ngram_join
 from .packing import op10_packing
-from .quality import op6_quality_rules
+from .quality import OP6_SQL, op6_quality_rules
 from .rans import op8_token_files
 from .secrets import op1_secret_scan
 from .suffix_dedup import op3_suffix_dedup
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_mix_sources": OP5_SQL,
+    "op6_quality_rules": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
 }

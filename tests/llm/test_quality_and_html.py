@@ -2,9 +2,9 @@ import collections
 import math
 import random
 import re
+import zlib
 
 import pytest
-import xxhash
 from fathomlake.llm.html_text import MaxFlow, blocks_of, extract_text, labels_of, main_text, scores_of
 from fathomlake.llm.quality import quality_rules
 
@@ -12,38 +12,35 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, n_words string, bucket int"
 
 
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
-
-
 def grams(words, buckets):
-    h = lambda b, seed: xxhash.xxh64_intdigest(b.encode(), seed=seed)
-    one = [signed(h(w, 42)) % buckets for w in words]
-    return one + [signed(h(b, h(a, 42))) % buckets for a, b in zip(words, words[1:])]
+    return [zlib.crc32(g.encode()) % buckets for g in words + [f"{a} {b}" for a, b in zip(words, words[1:])]]
 
 
 def test_quality_rules_by_brute_force(spark):
     rng = random.Random(1)
     good, junk = ["the", "of", "wave", "sea", "storm", "day", "night", "wind", "é"], ["###", "$$a", "%x%", "BUY|"]
     rows = []
-    for i in range(120):
+    for i in range(240):
         vocab = junk if i % 6 == 5 else good
         n = rng.choice([0, 3, 40, 60, 200])
-        words = [rng.choice(vocab) + str(rng.randint(0, 30)) for _ in range(n)]
+        words = [rng.choice(vocab) + str(rng.randint(0, 5)) for _ in range(n)]
         if i % 7 == 3:
             words = words[:10] * 12
         rows.append((i, "".join(w + rng.choice([" ", "\n", "\t", " \r\n"]) for w in words), "x", 1))
     rows += [(500, None, "x", 1), (501, "", "x", 1), (502, "same line\nsame line\n\n\nsame line", "x", 1)]
-    trusted = [i for i in range(120) if i % 6 == 1 and i % 7 != 3]
+    # trusted text of several times the prior; of the clean documents i % 6 in (0, 4) are held out
+    trusted, prior = [i for i in range(240) if i % 6 in (1, 2, 3) and i % 7 != 3], 2000.0
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = {r.doc_id: r for r in quality_rules(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id bigint"), buckets=512).collect()}
+    got = {r.doc_id: r for r in quality_rules(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id bigint"), buckets=4096, prior=prior).collect()}
     raw, ok = collections.Counter(), collections.Counter()
     for d, t, _, _ in rows:
-        g = grams(WORD.findall(t or ""), 512)
+        g = grams(WORD.findall(t or ""), 4096)
         raw.update(g)
         if d in trusted:
             ok.update(g)
-    weight = {b: round((math.log((ok[b] + 5) / (sum(ok.values()) + 5 * 512)) - math.log((n + 5) / (sum(raw.values()) + 5 * 512))) * 1e6) for b, n in raw.items()}
+    whole, sure = sum(raw.values()), sum(ok.values())
+    assert sure > 3 * prior
+    weight = {b: round((math.log((ok[b] + prior * (n / whole)) / (sure + prior)) - math.log(n / whole)) * 1e6) for b, n in raw.items()}
     for d, t, _, _ in rows:
         t = t or ""
         w = WORD.findall(t)
@@ -56,15 +53,22 @@ def test_quality_rules_by_brute_force(spark):
         r = got[d]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)), d
         assert r.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
-        g = grams(w, 512)
+        g = grams(w, 4096)
         assert r.score == pytest.approx(sum(weight[b] for b in g) / 1e6 / max(1, len(g)), abs=1e-5)
         assert r.kept == (not r.base_failed and r.score >= -0.1)
-    assert all(got[i].score < -0.1 for i in range(120) if i % 6 == 5 and got[i].n_words >= 40)
-    clean = [got[i].score for i in range(120) if i % 6 != 5 and got[i].n_words >= 40]
-    assert min(clean) > max(got[i].score for i in range(120) if i % 6 == 5 and got[i].n_words >= 40)
+    assert all(got[i].score < -0.1 for i in range(240) if i % 6 == 5 and got[i].n_words >= 40)
+    clean = [got[i].score for i in range(240) if i % 6 != 5 and got[i].n_words >= 40]
+    assert min(clean) > max(got[i].score for i in range(240) if i % 6 == 5 and got[i].n_words >= 40)
     assert quality_rules(docs.limit(0), docs.select("doc_id").limit(0)).collect() == []
 
 
+def test_without_trusted_texts_the_base_rules_decide(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(60)), "x", 1), (1, "short", "y", 2), (2, "%%% " * 70, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.doc_id, r.n_words, r.score, r.base_failed, r.kept) for r in quality_rules(docs, docs.select("doc_id").limit(0)).collect())
+    assert got == [(1, 1, 0.0, True, False), (1, 60, 0.0, False, True), (2, 70, 0.0, True, False)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>if (a<b) { "</p>" }</script></head><body class="page">
 <header><h1>Site name</h1><p>The best site of all, read by everybody.</p></header><nav><ul><li><a href="/">Home</a><li><a href=/b>Blog</a></ul></nav>
 <div id="cookie-notice"><p>We use cookies to make this site work, for you and for all of our many partners.</p></div>
