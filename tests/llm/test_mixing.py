@@ -60,3 +60,18 @@ def test_odds_prefer_documents(spark):
     base = min(r.copies for r in part)
     rich, poor = ([r.copies - base for r in part if (r.doc_id % 10 < 4) is x] for x in (True, False))
     assert sum(rich) / len(rich) > 2 * sum(poor) / len(poor)
+
+
+def test_a_document_that_does_not_fit_is_passed_over(spark):
+    """One text holds most of its source: whatever the order, the others fill the target."""
+    docs = [(0, "a", "w " * 8000, 1)] + [(i, "a", "w " * 20, 1) for i in range(1, 100)] + [(i, "b", "w " * (100 + i % 7), 1) for i in range(100, 220)] + [(300, "c", "w " * 400, 1)]
+    for seed in ("s1", "s2", "s3"):
+        rows = mix_sources(spark.createDataFrame(docs, SCHEMA).repartition(4), seed=seed, by_size=True).collect()
+        taken, target = {}, {}
+        for r in rows:
+            taken[r.source] = taken.get(r.source, 0) + r.taken
+            target[r.source] = r.target
+            assert r.taken <= 3 * r.size
+        for s in target:
+            left = [r.size for r in rows if r.source == s and r.copies == min(x.copies for x in rows if x.source == s)]
+            assert taken[s] <= target[s] + 1e-6 and target[s] - taken[s] <= min(left)
