@@ -1,14 +1,18 @@
 """N-gram Jaccard join: sets of word shingles, linked from a similarity on; nothing is lost.
 
 1. A text becomes its set of shingles (64-bit hashes). Equal sets are one node from here on.
-2. Candidates meet exactly: the hash range is cut into more segments than two linked sets can differ in, so at
-   least one segment's content is the same in both. Nodes with a segment in common are tied to the least of
-   them, at first inside a task, then across tasks; components of these ties hold every link.
-3. In a candidate component, shingles are hashed into groups and a set is the point of its group counts. An
-   R-tree over the points bounds the overlap of a set with all sets of a tree node by the summed minima of
-   coordinates; pairs that pass the bound are verified on the sets, unless links found so far join them already.
+2. Shingles are hashed into groups, and a set is the point of its group counts: the summed minima of two points'
+   coordinates bound the overlap of the sets.
+3. Candidates meet exactly: the hash range is cut into more segments than two linked sets can differ in, so the
+   contents of ``spare`` + 1 segments or more are the same in both; each content is a key. Keys are ordered by how many
+   nodes have them (exact counts), and a node leaves out its ``spare`` most frequent ones: of the common keys of two linked
+   nodes the last in that order stays in both. So a passage that thousands of texts share ties none of them. Pairs that
+   meet in a key of few nodes must pass the bound on their points; nodes that keep a frequent key are tied to the
+   least of them, at first inside a task. Components of these ties hold every link.
+4. In a candidate component, an R-tree over the points bounds the overlap of a set with all sets of a tree node;
+   pairs that pass the bound are verified on the sets, unless links found so far join them already.
    A large component is cut into tiles, and each pair of tiles is one task.
-4. Verified links give the classes.
+5. Verified links give the classes.
 """
 
 from __future__ import annotations
@@ -20,24 +24,31 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import documents, release, stored, text_of
-from .components import connected_components
+from .components import connected_components, star_ties
 from .tokens import whole
 
 U = np.uint64
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Growth from one band of set sizes to the next.
 BAND_GROWTH = 1.25
-#: Coordinates of a count vector, and points in a leaf of the tree.
+#: Coordinates of a count vector in the tree, and points in a leaf of the tree.
 GROUPS, LEAF = 128, 32
-#: Shingles in a tile of a candidate component.
-TILE_SHINGLES = 8_000_000
+#: Coordinates of a count vector that meets others by a key: those of the last size that a set reaches.
+POINT_GROUPS = ((0, 128), (1024, 512), (8192, 2048))
+#: Shingles, and nodes, in a tile of a candidate component.
+TILE_SHINGLES, TILE_NODES = 2_000_000, 20_000
 #: Keys that a task holds before it hands them on.
 KEYS_HELD = 4_000_000
 KEY_BUCKETS = 1024
+#: A key of so many nodes is frequent; one of so many in what a task holds is hot: its nodes aren't sent to be counted.
+FREQUENT, HOT = 4, 256
+#: Bands that a key can tell apart by its low bits.
+SLOTS = 16
+HOT_COUNT = 1 << 40
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,11 +122,11 @@ class Bands:
         return 1 + -(-t // 8)
 
 
-def keys_of(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of a set: linked sets have one in common.
+def band_keys(s: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray, int]]:
+    """(slot, keys, keys that may be left out) of a set for each of its bands; the low bits of a key are its slot.
 
-    With ``spare`` segments more than needed, spare + 1 segments are equal in linked sets. A set with at most that
-    many empty segments has one that isn't empty among them, so only sets with more give keys for empty segments.
+    With ``spare`` segments more than needed, spare + 1 segments are equal in linked sets. In the order in which keys may be
+    left out those of empty segments are the first: they are left out here, as many as may be.
     """
     out = []
     scrambled = np.concatenate([np.zeros(1, U), np.cumsum(mix(s ^ M1), dtype=U)])
@@ -125,10 +136,38 @@ def keys_of(s: np.ndarray, bands: Bands) -> np.ndarray:
         sums = scrambled[bounds[1:]] - scrambled[bounds[:-1]]
         sizes = np.diff(bounds).astype(U)
         keys = mix(sums + sizes * M2 + mix(np.arange(segments, dtype=U) + U(band << 32)))
-        out.append(keys if int((sizes == 0).sum()) > spare else keys[sizes > 0])
+        keys = (keys & ~U(SLOTS - 1)) | U(band % SLOTS)
+        full = np.unique(keys[sizes > 0])
+        empty = np.sort(keys[sizes == 0])
+        out.append((band % SLOTS, np.concatenate([full, empty[spare:]]), max(0, spare - len(empty))))
+    return out
+
+
+def keys_of(s: np.ndarray, bands: Bands) -> np.ndarray:
+    """Keys of a set: linked sets have one in common, whatever each of them leaves out."""
+    out = [keys for _, keys, _ in band_keys(s, bands)]
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U)
 
 
+def point_of(s: np.ndarray) -> bytes:
+    """Group counts of a set: a byte for the bytes of a number, then the numbers."""
+    groups = next(g for n, g in reversed(POINT_GROUPS) if len(s) >= n)
+    counts = np.bincount((mix(s) % U(groups)).astype(np.int64), minlength=groups)
+    size = 1 if counts.max(initial=0) < 256 else 2 if counts.max() < 65536 else 4
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def read_point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """At least the size of the intersection: summed minima; the finer point is folded to the coarser one's groups."""
+    g = min(len(a), len(b))
+    a, b = (x if len(x) == g else x.reshape(-1, g).sum(0) for x in (a, b))
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
 class CountTree:
     """R-tree over group counts, packed by size and then by coordinates; leaves and inner nodes keep coordinate maxima."""
 
@@ -176,6 +215,7 @@ def spanning_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int
     """Verified links (positions) that join what all links of the sets would join."""
     points = group_counts(sets)
     tree, root = CountTree(points, num, den), np.arange(len(sets))
+    members = {}  # of each root that has more than itself
     mean = points.mean(0)
     links = []
     for i in np.argsort(np.abs(points - mean).sum(1), kind="stable").tolist():  # the most central first: it joins most
@@ -192,88 +232,150 @@ def spanning_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int
             hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
             both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
             for j in part[both * den >= num * (sizes + len(mine) - both)].tolist():
-                if root[j] != root[i]:
-                    root[root == root[j]] = root[i]
+                x, y = int(root[i]), int(root[j])
+                if x != y:
                     links.append((i, j))
+                    more, less = members.setdefault(x, [x]), members.setdefault(y, [y])
+                    if len(more) < len(less):
+                        x, y, more, less = y, x, less, more
+                    root[less] = x  # each set changes its root a logarithm of times
+                    more += less
+                    del members[y]
     return links
 
 
-def shingle_table(docs: DataFrame, width: int) -> DataFrame:
-    """Per row of ``docs``: doc_id, n, node (null without words)."""
+def shingle_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, n, node, point, first_slot, spares (keys that the node may leave out, by band); null without words."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
         for b in batches:
-            sets = shingle_sets(b.column(1), width)
-            nodes = [node_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n", "node"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(sizes, "doc_id bigint, n bigint, node bigint")
-
-
-def candidate_ties(docs: DataFrame, width: int, num: int, den: int, buckets: int = KEY_BUCKETS) -> DataFrame:
-    """u, v: nodes with a key in common, each tied to the least node of its key."""
+            for at in range(0, b.num_rows, 500):
+                sets = shingle_sets(b.column(1).slice(at, 500), width)
+                plans = [[(k, keep) for k, _, keep in band_keys(s, bands)] for s in sets]
+                columns = (
+                    (pa.int64(), [len(s) for s in sets]),
+                    (pa.int64(), [node_of(s) if len(s) else None for s in sets]),
+                    (pa.binary(), [point_of(s) if p else None for s, p in zip(sets, plans)]),
+                    (pa.int32(), [p[0][0] if p else None for p in plans]),
+                    (pa.list_(pa.int32()), [[x for _, x in p] if p else None for p in plans]),
+                )
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), *[pa.array(v, t) for t, v in columns]], names=["doc_id", "n", "node", "point", "first_slot", "spares"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    return rows.mapInArrow(sizes, "doc_id bigint, n bigint, node bigint, point binary, first_slot int, spares array<int>")
+
+
+def meetings(docs: DataFrame, width: int, num: int, den: int, buckets: int = KEY_BUCKETS, hot: int = HOT) -> DataFrame:
+    """u, v, key, nodes: pairs of nodes that meet in a key of few nodes (key null), and nodes with a frequent key (v null) and its count.
+
+    A key that is hot in some task counts as ``HOT_COUNT``: more than any that is counted.
+    """
+    buckets = max(buckets, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, keys, nodes, held = Bands(num, den), [], [], 0
+        bands, keys, nodes, held, seen = Bands(num, den), [], [], 0, set()
 
         def out() -> pa.RecordBatch:
             k, n = np.concatenate(keys), np.concatenate(nodes)
             order = np.lexsort((n, k))
             k, n = k[order], n[order]
             first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            least = np.repeat(n[first], np.diff(np.append(first, len(k))))
-            u, v = _distinct(n, least)
-            k, n = k[first], n[first]
-            bucket = ((k >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            ends = np.append(cut[1:], len(k))
-            rows = [(int(bucket[a]), k[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cut, ends)] + [(-1, u.tobytes(), v.tobytes())] * bool(len(u))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "a", "b"])
+            many = np.diff(np.append(first, len(k))) >= hot
+            hot_keys, mine = k[first[many]], np.repeat(many, np.diff(np.append(first, len(k))))
+            rows = [(-1, k[mine].tobytes(), n[mine].tobytes(), b"")] * bool(len(hot_keys))
+            k, n = k[~mine], n[~mine]
+            of = [((x >> U(32)) * U(buckets) >> U(32)).astype(np.int64) for x in (k, hot_keys)]
+            at = [np.searchsorted(x, np.arange(buckets + 1)) for x in of]
+            for b in np.flatnonzero((np.diff(at[0]) > 0) | (np.diff(at[1]) > 0)).tolist():
+                rows.append((b, k[at[0][b] : at[0][b + 1]].tobytes(), n[at[0][b] : at[0][b + 1]].tobytes(), hot_keys[at[1][b] : at[1][b + 1]].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))], names=["bucket", "a", "b", "hot"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 for s in shingle_sets(batch.column(0).slice(at, 500), width):
-                    own = keys_of(s, bands)
+                    node = node_of(s)
+                    own = keys_of(s, bands) if node not in seen else ()
                     if len(own):
+                        seen.add(node)
                         keys.append(own)
-                        nodes.append(np.full(len(own), node_of(s), np.int64))
+                        nodes.append(np.full(len(own), node, np.int64))
                         held += len(own)
                 if held >= KEYS_HELD:
                     yield out()
-                    keys, nodes, held = [], [], 0
+                    keys, nodes, held, seen = [], [], 0, set()
         if held:
             yield out()
 
-    def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets come sorted, so the rows of one are neighbours."""
-        now, a, b = None, [], []
+        now, rows = None, []
 
-        def out() -> pa.RecordBatch:
-            if now == -1:
-                u, v = _distinct(np.concatenate(a).view(np.int64), np.concatenate(b))
-            else:
-                k, n = np.concatenate(a), np.concatenate(b)
-                order = np.lexsort((n, k))
-                k, n = k[order], n[order]
-                first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-                u, v = _distinct(n, np.repeat(n[first], np.diff(np.append(first, len(k)))))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        def table(u: np.ndarray, v: np.ndarray | None, key: np.ndarray | None, nodes: np.ndarray | None) -> pa.RecordBatch:
+            columns = [pa.nulls(len(u), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (u, v, key, nodes)]
+            return pa.RecordBatch.from_arrays(columns, names=["u", "v", "key", "nodes"])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            k, n = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+            known = np.unique(np.concatenate([r[2] for r in rows]))
+            order = np.lexsort((n, k))
+            k, n = k[order], n[order]
+            new = np.append(True, (k[1:] != k[:-1]) | (n[1:] != n[:-1]))[: len(k)]
+            k, n = k[new], n[new]
+            first = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
+            size = np.diff(np.append(first, len(k)))
+            is_hot = np.isin(k[first], known)
+            count = np.repeat(np.where(is_hot, HOT_COUNT, size), size)
+            few = [(n[:-d][m], n[d:][m]) for d in range(1, FREQUENT - 1) if len(k) > d for m in ((k[d:] == k[:-d]) & (count[d:] < FREQUENT),)]
+            if few:
+                yield table(*_distinct(np.concatenate([x for x, _ in few]), np.concatenate([y for _, y in few])), None, None)
+            often = count >= FREQUENT
+            if often.any():
+                yield table(n[often], None, k[often].view(np.int64), count[often])
 
         for batch in batches:
-            for bucket, x, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if a and (bucket != now or bucket == -1):
-                    yield out()
-                    a, b = [], []
+            for bucket, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                own = (np.frombuffer(a, U), np.frombuffer(b, np.int64), np.frombuffer(c, U))
+                if bucket < 0:
+                    yield table(own[1], None, own[0].view(np.int64), np.full(len(own[0]), HOT_COUNT))
+                    continue
+                if rows and bucket != now:
+                    yield from out()
+                    rows = []
                 now = bucket
-                a.append(np.frombuffer(x, U))
-                b.append(np.frombuffer(y, np.int64))
-        if a:
-            yield out()
+                rows.append(own)
+        if rows:
+            yield from out()
 
-    rows = docs.select(text_of(docs).alias("text")).mapInArrow(keyed, "bucket int, a binary, b binary")
-    # ties found inside a task (bucket -1) are dealt by their content
+    rows = docs.select(text_of(docs).alias("text")).mapInArrow(keyed, "bucket int, a binary, b binary, hot binary")
+    # what is hot in a task (bucket -1) is dealt by its content
     dealt = rows.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(0)).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(tied, "u bigint, v bigint").distinct()
+    return dealt.mapInArrow(counted, "u bigint, v bigint, key bigint, nodes bigint")
+
+
+def candidate_ties(met: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """u, v: nodes that may be linked, or are tied to the least node of a frequent key that they keep. ``nodes`` has a row for each node."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v, n, m, p, q = (b.column(i) for i in range(6))
+            n, m = n.to_numpy(), m.to_numpy()
+            fits = (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (u.to_numpy() != v.to_numpy())
+            p, q = p.to_pylist(), q.to_pylist()
+            for i in np.flatnonzero(fits).tolist():
+                fits[i] = overlap_bound(read_point(p[i]), read_point(q[i])) * (den + num) >= num * (int(n[i]) + int(m[i]))
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(fits)) for x in (u, v)], names=["u", "v"])
+
+    # nodes grow with the corpus: merge joins at every size
+    at = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("point").alias(f"p_{side}")).hint("merge")
+    pairs = met.filter("key is null").select("u", "v").distinct().join(at("u"), "u").join(at("v"), "v")
+    pairs = pairs.select("u", "v", "n_u", "n_v", "p_u", "p_v").mapInArrow(bounded, "u bigint, v bigint")
+    own = nodes.select(F.col("node").alias("u"), "first_slot", "spares").hint("merge")
+    slot = F.pmod(F.col("key").bitwiseAND(F.lit(SLOTS - 1)) - F.col("first_slot"), F.lit(SLOTS)).cast("int")
+    often = met.filter("key is not null").select("u", "key", "nodes").join(own, "u").select("u", "key", "nodes", slot.alias("slot"), F.get("spares", slot).alias("spare"))
+    order = F.row_number().over(Window.partitionBy("u", "slot").orderBy(F.col("nodes").desc(), "key"))
+    kept = often.withColumn("place", order).filter("place > spare").select("key", F.col("u").alias("node"))
+    return pairs.union(star_ties(kept))
 
 
 def _distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,14 +396,20 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, t
     doc_id share a class if their texts do; a null doc_id never names a class of others (alone: null). No rows give none;
     other columns are ignored.
     """
-    table = stored(shingle_table(docs, width), "sets")
-    reps = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    found = connected_components(candidate_ties(docs, width, num, den))
-    release(docs.sparkSession)  # the keys' shuffle files
+    spark = docs.sparkSession
+    table = stored(shingle_table(docs, width, num, den), "sets")
+    met = stored(meetings(docs, width, num, den), "met")
+    release(spark)  # the keys' shuffle files
+    # rows of one node have one point and the same spares
+    nodes = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", "point", "first_slot", "spares")])
+    nodes = stored(nodes, "nodes")
+    reps = nodes.select("node", "rep", "n")
+    found = connected_components(candidate_ties(met, nodes, num, den))
     members = found.union(found.select("component", "component").distinct()).toDF("node", "part")
-    members = stored(members.join(reps.filter("rep is not null"), "node"), "members")
-    parts = members.groupBy("part").agg(F.ceil(F.sum("n") / tile).cast("int").alias("tiles"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    placed = members.join(parts, "part").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    members = stored(members.join(reps.filter("rep is not null").hint("merge"), "node"), "members")
+    size = F.greatest(F.sum("n") / tile, F.count(F.lit(1)) / TILE_NODES)
+    parts = members.groupBy("part").agg(F.ceil(size).cast("int").alias("tiles"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    placed = members.join(parts.hint("merge"), "part").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     placed = placed.select("rep", "node", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of(docs).alias("text"))
