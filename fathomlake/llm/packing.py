@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import documents, table_path, text_of
-from .tokens import piece_tokenizer, tokenizer_path
+from .tokens import piece_tokenizer, slices, tokenizer_path, whole
 
 LENGTH = 4096
 END_ID = 2
@@ -136,12 +136,14 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, en
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = piece_tokenizer(name)
         for batch in batches:
-            flat, sizes = tok.encode(batch.column(1))
-            keys = hilbert_key(points_of(flat, sizes)) if len(sizes) else np.zeros(0, np.int64)
-            flat = np.insert(flat, np.cumsum(sizes), end_id).astype("<u4")
-            ends = 4 * np.cumsum(sizes + 1)
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, ends).astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), raw.cast(pa.binary())], names=["doc_id", "key", "ids"])
+            texts = whole(batch.column(1))
+            for a, b in slices(texts):  # the ids of a few texts at a time, whatever a batch holds
+                flat, sizes = tok.encode(texts.slice(a, b - a))
+                keys = hilbert_key(points_of(flat, sizes))
+                flat = np.insert(flat, np.cumsum(sizes), end_id).astype("<u4")
+                ends = 4 * np.cumsum(sizes + 1)
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, ends).astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.int64()), raw.cast(pa.binary())], names=["doc_id", "key", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -8,6 +8,7 @@ ids of the pieces together; Python never walks over words.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct pieces that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_200_000
 #: A control character that is one token of its own; it marks the ends of pieces.
 MARK = "\x01"
 #: Words of ASCII and Latin letters that have one lower case and no composition of their own.
@@ -31,8 +32,8 @@ def _byte_letters() -> dict[int, int]:
 
 
 BYTE_LETTERS = _byte_letters()
-#: Characters of text that are split at once.
-SLICE_BYTES = 8 << 20
+#: Bytes of text that are split at once; a longer text is split alone.
+SLICE_BYTES = 3 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -46,6 +47,16 @@ def whole(texts: pa.Array) -> pa.Array:
     return pc.take(pc.fill_null(texts, "").cast(pa.large_string()), pa.array(np.arange(len(texts))))
 
 
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of neighbouring texts of about ``size`` bytes together, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, to
+        at = to
+
+
 def _spread(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ... for sizes[0] places, then start[1], ..."""
     ends = np.cumsum(sizes, dtype=np.int64)
@@ -141,16 +152,8 @@ class PieceTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text. Null is empty."""
         texts = whole(texts)
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        ids, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
-        while at < len(texts):
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
-            a, b = self._encode(whole(texts.slice(at, to - at)))
-            ids.append(a)
-            counts.append(b)
-            at = to
-        return np.concatenate(ids), np.concatenate(counts)
+        parts = [self._encode(whole(texts.slice(a, b - a))) for a, b in slices(texts)]
+        return np.concatenate([np.zeros(0, np.uint32), *[x for x, _ in parts]]), np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]])
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
