@@ -6,9 +6,11 @@ A byte goes when a WIDTH-byte string that covers it also starts in a document wi
    same wherever the string stands. An anchor's context is all bytes of the WIDTH-byte strings that hold it.
 2. Equal contexts need no suffix array: all their bytes go in all documents but the first. This is settled
    inside each task first, so a passage that fills a third of the corpus sends one row for each task.
-3. Where an anchor has several contexts, one document for each context sends its bytes. They are sharded by anchor,
-   and each shard gets a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's
-   walk; an anchor with more contexts than a shard holds has several, merged by binary search.
+3. Where an anchor has several contexts, one document for each context sends its bytes. They are sharded by anchor.
+   A WIDTH-byte string that holds the anchor goes on for HALF bytes before it or behind it, so a context whose bytes
+   there no other document's context shares is done. The others of a shard get a suffix array by Larsson-Sadakane
+   refinement and common prefixes by Kasai's walk; an anchor with more contexts than a shard holds has several
+   suffix arrays, merged by binary search.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, stored, text_of
+from ._common import documents, release, stored, text_of
 
 U = np.uint64
 WIDTH, GRAM = 50, 20
 BEFORE = WIDTH - GRAM
+HALF = BEFORE // 2
 BUCKETS = 1024
 #: Bytes of text hashed at once; a longer document is hashed alone.
 CHUNK_BYTES = 2 << 20
@@ -34,6 +37,8 @@ CHUNK_BYTES = 2 << 20
 ANCHORS_HELD = 2_000_000
 #: Bytes of contexts in one suffix array.
 SHARD_BYTES = 4 << 20
+#: Bytes of contexts that are looked through at once for those that share a half.
+LOOK_BYTES = 16 << 20
 FACTORS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -213,6 +218,32 @@ def removable(contexts: list[bytes], docs: np.ndarray, shard_bytes: int = SHARD_
     return out
 
 
+def share_half(contexts: list[bytes], leads: np.ndarray, anchors: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """True where another document's context has the same anchor and the same HALF bytes before it, or behind it.
+
+    ``leads`` are the bytes before the anchor, ``anchors`` any name of it.
+    """
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    data = np.frombuffer(b"".join(contexts) + bytes(64), np.uint8)
+    at = np.cumsum(sizes) - sizes + leads
+    keep = np.zeros(len(contexts), bool)
+    width = -(-(GRAM + HALF) // 8) * 8
+    for side, (start, fits) in enumerate(((at - HALF, leads >= HALF), (at, sizes - leads >= GRAM + HALF))):
+        which = np.flatnonzero(fits)
+        rows = np.zeros((len(which), width), np.uint8)
+        rows[:, : GRAM + HALF] = data[start[which, None] + np.arange(GRAM + HALF)]
+        name = _mix(anchors[which].astype(np.int64).view(U) + FACTORS[side])
+        for word in rows.view(U).T:
+            name = _mix(name * FACTORS[2] + word)
+        order = np.argsort(name, kind="stable")
+        name, doc = name[order], docs[which][order]
+        first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))[: len(name)]
+        if len(first):
+            several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+            keep[which[order]] |= np.repeat(several, np.diff(np.append(first, len(name))))
+    return keep
+
+
 def _rows(names: list[str], types: list, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
@@ -324,7 +355,7 @@ def anchor_marks(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return dealt.mapInArrow(settle, MARKS)
 
 
-def suffix_dedup(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES, look_bytes: int = LOOK_BYTES, with_text: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left; null without ``with_text``).
 
     Null text is empty; texts under WIDTH bytes lose nothing. Rows that repeat a doc_id don't count against each other, and
@@ -332,6 +363,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHA
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs, text_col).cast("binary").alias("text"))
     marks = stored(anchor_marks(texts), "marks")
+    release(docs.sparkSession)  # the anchors' shuffle files
     open_ = marks.filter("open is not null").groupBy("doc_id").agg(F.collect_list("open").alias("open"))
     same = marks.filter("same is not null").select("doc_id", F.lit("same").alias("kind"), F.col("same").alias("places"))
 
@@ -342,34 +374,38 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHA
                 for doc, text, open_ in zip(*(batch.column(i).slice(at, 200).to_pylist() for i in range(3))):
                     for p in np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in open_])).tolist():
                         a = max(0, p - BEFORE)
-                        rows.append((xxhash.xxh64_intdigest(text[p : p + GRAM]) - (1 << 63), doc, a, text[a : p + WIDTH]))
+                        rows.append((xxhash.xxh64_intdigest(text[p : p + GRAM]) - (1 << 63), doc, a, p - a, text[a : p + WIDTH]))
                 if rows:
-                    yield _rows(["anchor", "doc_id", "at", "bytes"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()], zip(*rows))
+                    yield _rows(["anchor", "doc_id", "at", "lead", "bytes"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], zip(*rows))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts come sorted by anchor; those of an anchor stay together."""
         held, size, last = [], 0, None
 
         def out() -> Iterator[pa.RecordBatch]:
-            found = removable([x[2] for x in held], np.array([x[0] for x in held], np.int64), shard_bytes)
+            anchors, docs, at, leads = (np.array([x[k] for x in held], np.int64) for k in range(4))
+            kept = np.flatnonzero(share_half([x[4] for x in held], leads, anchors, docs))
+            if not len(kept):
+                return
+            docs, at = docs[kept], at[kept]
+            found = removable([held[i][4] for i in kept.tolist()], docs, shard_bytes)
             if found:
                 which, place = np.array(found, np.int64).T
-                names, at = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-                rows = [(d, "starts", p) for d, p in _per_doc(names[which], at[which] + place)]
+                rows = [(d, "starts", p) for d, p in _per_doc(docs[which], at[which] + place)]
                 yield _rows(["doc_id", "kind", "places"], [pa.int64(), pa.string(), pa.binary()], zip(*rows))
 
         for batch in batches:
-            for anchor, doc, at, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if size >= shard_bytes and anchor != last:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if size >= look_bytes and row[0] != last:
                     yield from out()
                     held, size = [], 0
-                held.append((doc, at, raw))
-                size += len(raw)
-                last = anchor
+                held.append(row)
+                size += len(row[4])
+                last = row[0]
         if held:
             yield from out()
 
-    contexts = texts.hint("merge").join(open_, "doc_id").mapInArrow(cut, "anchor bigint, doc_id bigint, at int, bytes binary")
+    contexts = texts.hint("merge").join(open_, "doc_id").mapInArrow(cut, "anchor bigint, doc_id bigint, at int, lead int, bytes binary")
     starts = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "doc_id bigint, kind string, places binary")
     found = same.union(starts).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "places")).alias("found"))
 
@@ -382,13 +418,9 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHA
                 for doc, text, found in zip(*(batch.column(i).slice(at, 500).to_pylist() for i in range(3))):
                     n, removed, spans, kept = len(text), 0, 0, text
                     if found and n >= WIDTH:
-                        edge = np.zeros(n + 1, np.int32)
-                        for x in found:
-                            p = np.frombuffer(x["places"], "<i4").astype(np.int64)
-                            a, b = (np.maximum(p - BEFORE, 0), p + WIDTH) if x["kind"] == "same" else (p, p + WIDTH)
-                            np.add.at(edge, np.minimum(a, n), 1)
-                            np.add.at(edge, np.minimum(b, n), -1)
-                        gone = np.cumsum(edge[:n]) > 0
+                        same, starts = (np.frombuffer(b"".join(x["places"] for x in found if x["kind"] == k), "<i4").astype(np.int64) for k in ("same", "starts"))
+                        a, b = np.concatenate([np.maximum(same - BEFORE, 0), starts]), np.minimum(np.concatenate([same, starts]) + WIDTH, n)
+                        gone = np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1))[:n] > 0
                         removed, spans = int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum())
                         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                     rows.append((doc, n, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
