@@ -40,9 +40,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those not taken go."""
-    copies = mix_sources(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__chosen")
-    rows = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["__chosen"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    copies = mix_sources(docs, by_size=True).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    copies = copies.select(F.col("doc_id").alias("__chosen"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).hint("merge")
+    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["__chosen"])).select(*[docs[c] for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
