@@ -12,6 +12,8 @@ EARTH_M = 6378137.0
 FLATTENING = 1 / 298.257223563
 #: Scale on the central meridian and false easting of UTM.
 UTM_SCALE, UTM_EAST = 0.9996, 500000.0
+#: False northing of the southern zones.
+SOUTH_NORTH = 10_000_000.0
 
 
 def arc_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -58,8 +60,69 @@ def zoom_for(lon_min: Column, lon_max: Column, width_px: int = 1024, tile_px: in
     return F.round(F.log2(F.lit(360.0 * width_px / tile_px) / F.abs(lon_max - lon_min))).cast("int")
 
 
+def tile_bounds(x0: Column, y0: Column, x1: Column, y1: Column, zoom: int) -> Column:
+    """struct(x_min, y_min, x_max, y_max) in Web Mercator metres of a block of tiles, ends included."""
+    upper, lower = tile_corner(x0, y0, zoom), tile_corner(x1 + 1, y1 + 1, zoom)
+    low, high = web_mercator(upper["lon"], lower["lat"]), web_mercator(lower["lon"], upper["lat"])
+    return F.struct(low["x"].alias("x_min"), low["y"].alias("y_min"), high["x"].alias("x_max"), high["y"].alias("y_max"))
+
+
+def raster_step(lon: Column, lat: Column, step: float) -> Column:
+    """Mean Web Mercator metres of a diagonal raster step of ``step`` degrees."""
+    a, b = web_mercator(lon, lat), web_mercator(lon + step / math.sqrt(2), lat + step / math.sqrt(2))
+    return (F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])) / 2
+
+
+def mean_velocity(lat1: Column, lon1: Column, lat2: Column, lon2: Column, hours: Column) -> Column:
+    """struct(course, speed, vx, vy): bearing back to the first point, and km/h towards the second."""
+    course = azimuth(lat2, lon2, lat1, lon1)
+    speed = F.radians(arc_distance(lat1, lon1, lat2, lon2)) * EARTH_KM / hours
+    ahead = F.radians(course + 180)
+    return F.struct(course.alias("course"), speed.alias("speed"), (speed * F.sin(ahead)).alias("vx"), (speed * F.cos(ahead)).alias("vy"))
+
+
+def polar_place(lat0: Column, lon0: Column, lat: Column, lon: Column, heading: Column, south: Column) -> Column:
+    """struct(km, angle): a point seen from a storm, angles from the right of its heading; mirrored in the southern hemisphere."""
+    km = F.radians(arc_distance(lat0, lon0, lat, lon)) * EARTH_KM
+    turned = azimuth(lat0, lon0, lat, lon) - (heading - 90)
+    angle = F.when(turned < 0, F.pmod(turned, F.lit(360.0))).otherwise(turned)
+    mirrored = F.when((angle >= 0) & (angle <= 180), 180 - angle).when((angle >= 180) & (angle <= 360), 540 - angle).otherwise(angle)
+    return F.struct(km.alias("km"), F.when(south, mirrored).otherwise(angle).alias("angle"))
+
+
+#: Basins (fixed values): name, sign of the latitude, and open limits of the longitude (0 to 360) and of the absolute latitude.
+BASINS = (("SI", -1, 20, 135, 90), ("SP", -1, 135, 290, 90), ("NI", 1, 20, 100, 90), ("WP", 1, 100, 180, 90), ("EP", 1, 180, 260, 90), ("EP", 1, 260, 275, 15))
+
+
+def ocean_basin(lat: Column, lon: Column) -> Column:
+    """Cyclone basin of a place; "NA" where no other holds it."""
+    x = F.when(lon < 0, lon + 360).otherwise(lon)
+    out = F.lit("NA")
+    for name, sign, west, east, most in reversed(BASINS):
+        side = (lat < 0) if sign < 0 else (lat > 0) & (lat < most)
+        out = F.when(side & (x > west) & (x < east), name).otherwise(out)
+    return out
+
+
+def polygon_size(vertices: list[tuple[float, float]]) -> tuple[float, float]:
+    """Area and length of a polygon's border."""
+    edges = list(zip(vertices, vertices[1:] + vertices[:1]))
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in edges)) / 2, sum(math.dist(a, b) for a, b in edges)
+
+
+def in_buffer(x: Column, y: Column, vertices: list[tuple[float, float]], factor: float) -> Column:
+    """Inside a polygon or within ``factor`` times its area over its border's length of it."""
+    area, length = polygon_size(vertices)
+    near = []
+    for (x1, y1), (x2, y2) in zip(vertices, vertices[1:] + vertices[:1]):
+        dx, dy = float(x2 - x1), float(y2 - y1)
+        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy)))
+        near.append(F.hypot(x - (x1 + t * dx), y - (y1 + t * dy)))
+    return in_polygon(x, y, vertices) | (F.least(*near) <= factor * area / length)
+
+
 def utm(lon: Column, lat: Column, zone: int) -> Column:
-    """struct(easting, northing), northern zone: transverse Mercator by the third-order series in the third flattening."""
+    """struct(easting, northing), northern zone (southern ones add SOUTH_NORTH to the northing): transverse Mercator by the third-order series in the third flattening."""
     n = FLATTENING / (2 - FLATTENING)
     radius = EARTH_M / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
@@ -146,3 +209,22 @@ def box_entry(delta: Column, gamma: Column, x0: float, y0: float, r: float, lon0
     return (
         F.when((gamma > ur) & (gamma < lr), at_x(lon1)).when((gamma > lr) & (gamma < ll), at_y(lat0)).when((gamma > ll) & (gamma < ul), at_x(lon0)).when((gamma > ul) | (gamma < ur), at_y(lat1))
     )
+
+
+def polynomial(x: Column, coefs: list[float]) -> Column:
+    """Value of a polynomial, the highest power's coefficient first."""
+    out = F.lit(0.0)
+    for c in coefs:
+        out = out * x + c
+    return out
+
+
+def wind_to_pressure(wind: Column, coefs: list[float], low: float = 850.0, high: float = 1030.0, steps: int = 60) -> Column:
+    """Pressure (hPa) at which a falling wind polynomial gives ``wind``, by bisection; the nearer end beyond the range."""
+    def half(a, _):
+        mid = (a["lo"] + a["hi"]) / 2
+        more = polynomial(mid, coefs) > wind
+        return F.struct(F.when(more, mid).otherwise(a["lo"]).alias("lo"), F.when(more, a["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda a: (a["lo"] + a["hi"]) / 2)

@@ -107,3 +107,27 @@ def snell(period: Column, height: Column, direction: Column, depth_from: Column,
     group = lambda l, d: l / period / 2 * (1 + 4 * math.pi * d / l / F.sinh(4 * math.pi * d / l))
     refraction = F.sqrt(F.cos(F.radians(inc)) / F.cos(out))
     return F.struct((height * refraction * F.sqrt(group(l1, depth_from) / group(l2, depth_to))).alias("height"), F.pmod(F.degrees(out) + shore, F.lit(360.0)).alias("direction"))
+
+
+def shallow_factor(f: Column, depth: Column) -> Column:
+    """What shallow water leaves of a deep-water spectrum at frequency f: tanh(kd) / 2n, n being the group speed's share."""
+    k = 2 * math.pi / wavelength(1 / f, depth)
+    n = 0.5 * (1 + 2 * k * depth / F.sinh(2 * k * depth))
+    return F.tanh(k * depth) / (2 * n)
+
+
+def seasonal_parameter(t: Column, base: float, harmonics: list[float], trend: float = 0.0, covariates: list[tuple[Column, float]] = ()) -> Column:
+    """A distribution's parameter at a time in years: base, pairs of cosine and sine terms, trend and covariates."""
+    if len(harmonics) % 2:
+        raise ValueError("harmonics come in pairs")
+    out = F.lit(float(base)) + trend * t
+    for i in range(len(harmonics) // 2):
+        turn = 2 * math.pi * (i + 1) * t
+        out = out + harmonics[2 * i] * F.cos(turn) + harmonics[2 * i + 1] * F.sin(turn)
+    return sum((c * b for c, b in covariates), out)
+
+
+def biparabolic_distance(h: Column, omega: Column, surf: bool) -> Column:
+    """Distance at depth h on the surf (or the shoaling) branch of the two-parabola profile; coefficients are published fits to omega."""
+    a, b = (0.21 - 0.02 * omega, 0.89 * F.exp(-1.24 * omega)) if surf else (0.06 + 0.04 * omega, 0.22 * F.exp(-0.83 * omega))
+    return F.pow(h / a, F.lit(1.5)) + b / F.pow(a, F.lit(1.5)) * F.pow(h, F.lit(3.0))

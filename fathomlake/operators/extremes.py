@@ -197,3 +197,60 @@ def cramer_von_mises(df: DataFrame, value: str, cdf) -> DataFrame:
     i, n = F.row_number().over(Window.orderBy(value)), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     gap = F.pow((2 * i - 1) / (2 * n) - cdf(F.col(value)), F.lit(2.0))
     return df.select(gap.alias("g")).agg(F.count("g").alias("n"), (1 / (12 * F.count("g")) + F.sum("g")).alias("statistic"))
+
+
+def uniform_draws(spark, n: int, seed: str = "1") -> DataFrame:
+    """id, u: numbers between 0 and 1 from an MD5 of the seed and the id, the same wherever they are drawn."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double")
+    return spark.range(n).select("id", ((bits + 0.5) / float(1 << 52)).alias("u"))
+
+
+def random_extremes(spark, n: int, kind: str, loc: float, scale: float, xi: float, seed: str = "1") -> DataFrame:
+    """id, x: ``n`` values of a GEV ("gev") or GPD ("gpd", ``loc`` the threshold) by inversion."""
+    from fathomlake.functions.extremes import gev_quantile, gpd_quantile
+
+    if scale <= 0:
+        raise ValueError("scale must be positive")
+    quantile = {"gev": gev_quantile, "gpd": gpd_quantile}[kind]
+    return uniform_draws(spark, n, seed).select("id", quantile(F.col("u"), loc, scale, xi).alias("x"))
+
+
+def negative_log_likelihood(df: DataFrame, value: str, kind: str, loc: float, scale: float, xi: float, by: list[str] = ()) -> DataFrame:
+    """by, n, nll of a GEV or GPD; infinite where a value lies outside the support or the scale isn't positive."""
+    from fathomlake.functions.extremes import gev_log_likelihood, gpd_pdf
+
+    x = F.col(value)
+    if scale <= 0:
+        one = F.lit(None).cast("double")
+    elif kind == "gev":
+        one = gev_log_likelihood(x, loc, scale, xi)
+    else:
+        density = gpd_pdf(x, loc, scale, xi)
+        one = F.when((x >= loc) & (density > 0), F.ln(density))
+    rows = df.filter(x.isNotNull()).select(*by, one.alias("__l"))
+    total = F.when(F.count("__l") == F.count(F.lit(1)), -F.sum("__l")).otherwise(F.lit(float("inf")))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), total.alias("nll"))
+
+
+def kernel_cdf(df: DataFrame, value: str, knots: list[float]) -> DataFrame:
+    """x, cdf: Gaussian kernel estimate at knots, bandwidth by the normal reference rule. Each row meets each knot in a partial sum."""
+    from fathomlake.functions.normal import normal_cdf
+
+    s = df.agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
+    if not s["n"]:
+        return df.sparkSession.createDataFrame([], "x double, cdf double")
+    spread = min(x for x in (s["sd"] or 0.0, (s["q"][1] - s["q"][0]) / 1.349) if x > 0) if (s["sd"] or 0) > 0 else 1.0
+    width = 1.0592238410488122 * spread * s["n"] ** -0.2
+    sums = df.filter(F.col(value).isNotNull()).agg(*[F.avg(normal_cdf((F.lit(float(k)) - F.col(value)) / width)).alias(str(i)) for i, k in enumerate(knots)])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(float(k)).alias("x"), F.col(str(i)).alias("cdf")) for i, k in enumerate(knots)])).alias("r")).select("r.x", "r.cdf")
+
+
+def smoothed_by_neighbours(centroids: DataFrame, label: str, dims: list[str], value: str, k: int = 4, most: int = 10_000) -> DataFrame:
+    """label, value: half of each centroid's own parameter and half of its ``k`` nearest neighbours' mean, weighted by inverse distance."""
+    if centroids.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} centroids")
+    a, b = centroids.alias("a"), F.broadcast(centroids.alias("b"))
+    gap = F.sqrt(sum(((F.col(f"a.{d}") - F.col(f"b.{d}")) * (F.col(f"a.{d}") - F.col(f"b.{d}")) for d in dims), F.lit(0.0)))
+    pairs = a.join(b, F.col(f"a.{label}") != F.col(f"b.{label}")).select(F.col(f"a.{label}").alias(label), F.col(f"a.{value}").alias("own"), F.col(f"b.{label}").alias("__o"), F.col(f"b.{value}").alias("v"), gap.alias("d"))
+    near = pairs.withColumn("__k", F.row_number().over(Window.partitionBy(label).orderBy("d", "__o"))).filter(F.col("__k") <= k)
+    return near.groupBy(label).agg((0.5 * (F.max("own") + F.sum(F.col("v") / F.col("d")) / F.sum(1 / F.col("d")))).alias(value))

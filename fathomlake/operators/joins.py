@@ -23,17 +23,53 @@ def distance_squared(dims: list[str], circular: list[str] = (), weights: dict[st
 def nearest(queries: DataFrame, references: DataFrame, qid: str, rid: str, dims: list[str], circular: list[str] = (), weights: dict[str, float] | None = None) -> DataFrame:
     """qid, rid, distance: each query's nearest reference (least id on ties).
 
-    References are a bounded set (centroids, nodes, mesh corners): their number is checked, then they are broadcast, and
-    a partial minimum leaves one row for a query.
+    Up to MOST_REFERENCES references (checked) are broadcast, and a partial minimum leaves one row for a query. More of them are laid
+    into a grid of their first two dimensions: a query looks into its own cell and those around it, ring by ring twice as
+    far, until its nearest reference is nearer than anything outside the rings can be.
     """
     if references.limit(MOST_REFERENCES + 1).count() > MOST_REFERENCES:
-        raise ValueError(f"more than {MOST_REFERENCES} references; use a grid join")
+        return _nearest_by_grid(queries, references, qid, rid, dims, circular, weights)
     pairs = queries.alias("q").crossJoin(F.broadcast(references.alias("r")))
     best = F.min(F.struct(distance_squared(dims, circular, weights).alias("d"), F.col(f"r.{rid}").alias("r")))
     out = pairs.groupBy(F.col(f"q.{qid}").alias(qid)).agg(best.alias("b"))
     return out.select(qid, F.col("b.r").alias(rid), F.sqrt("b.d").alias("distance"))
 
 
+def _nearest_by_grid(queries: DataFrame, references: DataFrame, qid: str, rid: str, dims: list[str], circular: list[str] = (), weights: dict[str, float] | None = None, held: int = 20) -> DataFrame:
+    """``nearest`` by cells of about ``held`` references."""
+    axes = dims[:2]
+    ends = references.agg(F.count(F.lit(1)).alias("n"), *[f(d).alias(f"{d}_{k}") for d in axes for k, f in (("a", F.min), ("b", F.max))]).first()
+    cells = max(1, int((ends["n"] / held) ** (1 / len(axes))))
+    low = {d: 0.0 if d in circular else float(ends[f"{d}_a"]) for d in axes}
+    size = {d: (1.0 if d in circular else float(ends[f"{d}_b"]) - low[d] or 1.0) / cells for d in axes}
+    reach = min(size[d] * (weights or {}).get(d, 1.0) for d in axes)  # least weighted width of a ring
+    # a query outside the references' range is in a border cell: what lies outside its rings is no nearer for it
+    cell = lambda d: F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor((F.col(d) - low[d]) / size[d]))).cast("int")
+    r = references.select(rid, *dims, *[cell(d).alias(f"__{d}") for d in axes])
+    left, found, ring = queries.select(qid, *dims, *[cell(d).alias(f"__{d}") for d in axes]), None, 1
+    while True:
+        q = left
+        for d in axes:
+            if ring >= cells or (d in circular and 2 * ring + 1 >= cells):
+                steps = F.sequence(F.lit(0), F.lit(cells - 1))
+            elif d in circular:
+                steps = F.transform(F.sequence(F.lit(-ring), F.lit(ring)), lambda k: F.pmod(F.col(f"__{d}") + k, F.lit(cells)).cast("int"))
+            else:
+                steps = F.sequence(F.greatest(F.lit(0), F.col(f"__{d}") - ring), F.least(F.lit(cells - 1), F.col(f"__{d}") + ring))
+            q = q.withColumn(f"__{d}", F.explode(steps))
+        met = q.alias("q").join(r.alias("r").hint("shuffle_hash"), [F.col(f"q.__{d}") == F.col(f"r.__{d}") for d in axes])
+        best = met.groupBy(F.col(f"q.{qid}").alias(qid)).agg(F.min(F.struct(distance_squared(dims, circular, weights).alias("d"), F.col(f"r.{rid}").alias("r"))).alias("b"))
+        last = ring >= cells
+        sure = best.filter(F.lit(last) | (F.sqrt("b.d") < ring * reach))
+        found = sure if found is None else found.union(sure)
+        if last:
+            return found.select(qid, F.col("b.r").alias(rid), F.sqrt("b.d").alias("distance"))
+        left = left.join(sure.select(qid), qid, "left_anti")
+        if left.isEmpty():
+            return found.select(qid, F.col("b.r").alias(rid), F.sqrt("b.d").alias("distance"))
+        ring = min(cells, ring * 2)
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, time: str, lid: str, rid: str, seconds: float, by: list[str]) -> DataFrame:
     """lid, rid, gap: the nearest right row in time, strictly within ``seconds``, the earlier on ties.
 

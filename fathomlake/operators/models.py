@@ -11,6 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathomlake.functions.normal import normal_quantile
+
 from .joins import nearest
 
 
@@ -172,8 +174,7 @@ def gaussian_copula(df: DataFrame, cols: list[str], n: int, seed: int = 1) -> Da
 
     total = df.count()
     ranked = df.select(*[((F.row_number().over(Window.orderBy(c)) - 0.5) / total).alias(c) for c in cols])
-    # probit by the logistic approximation, good to 0.01
-    probit = ranked.select(*[(F.ln(F.col(c) / (1 - F.col(c))) / 1.702).alias(c) for c in cols])
+    probit = ranked.select(*[normal_quantile(F.col(c)).alias(c) for c in cols])
     r = probit.agg(*[F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]).first()
     c = np.array([[1.0 if i == j else r[f"{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))])
     root = np.linalg.cholesky(c + 1e-9 * np.eye(len(cols)))
@@ -212,22 +213,56 @@ def simulate_chain(transition: DataFrame, sims: int, steps: int, start: str, see
     return transition.sparkSession.range(sims).mapInPandas(run, "sim long, step int, state string")
 
 
+#: Most fixes of a track that are broadcast to a grid; the number is checked.
+MOST_FIXES = 100_000
+
+
 def vortex_field(track: DataFrame, grid: DataFrame) -> DataFrame:
-    """step, lon, lat, wind, direction, pressure: Holland's profile around each fix of a track, over the cells of a grid.
+    """step, lat, lon, wind (m/s), direction (degrees), pressure (Pa): a moving Holland vortex at each fix over a regular grid.
 
-    ``track``: step, clon, clat, p0, pn (hPa), vmax (kt), rmw (nmile). The track is the small side: it is broadcast.
+    ``track``: step, lon, lat, vfx, vfy (kt, translation), p0, pn (hPa), vmax (kt), rmw (nmile); ``grid``: lat, lon. A cell at the
+    eye has no wind, and a fix with a null has none at all (0). Directions follow the pressure's gradient along the grid's rows and
+    columns, as a gradient with unit steps. The wind blows the other way round if any fix lies in the south.
     """
-    from fathomlake.functions.geo import EARTH_KM, arc_distance, azimuth
-
-    j = grid.crossJoin(F.broadcast(track))
-    km = F.radians(arc_distance(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon"))) * EARTH_KM
-    drop = F.greatest(F.col("pn") - F.col("p0"), F.lit(1.0)) * 100
-    vms = F.col("vmax") * 0.514444
-    b = F.least(F.greatest(1.15 * math.e * vms * vms / drop, F.lit(1.0)), F.lit(2.5))
-    q = F.pow(F.col("rmw") * 1.852 / F.greatest(km, F.lit(1e-3)), b)
-    wind = F.sqrt(b * drop / 1.15 * q * F.exp(-q))
-    bearing = azimuth(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon"))
-    return j.select("step", "lon", "lat", wind.alias("wind"), F.pmod(bearing + F.when(F.col("clat") >= 0, -90.0).otherwise(90.0), F.lit(360.0)).alias("direction"), (F.col("p0") + drop / 100 * F.exp(-q)).alias("pressure"))
+    from fathomlake.functions.geo import arc_distance
+
+    if track.limit(MOST_FIXES + 1).count() > MOST_FIXES:
+        raise ValueError(f"more than {MOST_FIXES} fixes: take one storm at a time")
+    names = ["lon", "lat", "vfx", "vfy", "p0", "pn", "vmax", "rmw"]
+    south = bool(track.agg(F.max(F.col("lat") < 0)).first()[0])
+    j = grid.select("lat", F.when(F.col("lon") < 0, F.col("lon") + 360).otherwise(F.col("lon")).alias("lon"))
+    j = j.crossJoin(F.broadcast(track.select("step", *[F.col(c).cast("double").alias(f"t_{c}") for c in names])))
+    c = {n: F.col(f"t_{n}") for n in names}
+    known = F.lit(True)
+    for x in c.values():
+        known = known & x.isNotNull() & ~F.isnan(x)
+    r = F.radians(arc_distance(F.col("lat"), F.col("lon"), c["lat"], c["lon"])) * 6378135.0
+    theta = F.atan2(F.radians(F.col("lat") - c["lat"]), F.radians((c["lon"] - F.col("lon")) if south else (F.col("lon") - c["lon"])))
+    drop = F.greatest((c["pn"] - c["p0"]) * 100, F.lit(100.0))
+    spin = 2 * (2 * math.pi / 86184.2) * F.sin(F.radians(F.abs(c["lat"])))
+    beta, to_ten_minutes = 0.9, 0.93
+    gradient_kt = (c["vmax"] - F.hypot(c["vfx"], c["vfy"])) / beta
+    vm = gradient_kt * 0.52
+    b = F.least(F.greatest(1.15 * math.e * vm * vm / drop, F.lit(1.0)), F.lit(2.5))
+    j = j.select("*", r.alias("r"), theta.alias("theta"), spin.alias("spin"), gradient_kt.alias("kt"), vm.alias("vm"), F.when(r > 0, F.pow(c["rmw"] * 1852 / r, b)).alias("q"), known.alias("known"))
+    vg = F.sqrt(F.col("q") * F.exp(1 - F.col("q")) * F.col("vm") * F.col("vm") + F.col("r") * F.col("r") * F.col("spin") * F.col("spin") / 4) - F.col("r") * F.col("spin") / 2
+    j = j.withColumn("vg", F.when(F.col("known"), F.coalesce(vg, F.lit(0.0)))).withColumn("pr", F.when(F.col("known"), c["p0"] + (c["pn"] - c["p0"]) * F.coalesce(F.exp(-F.col("q")), F.lit(0.0))))
+    move = F.abs(F.col("vg")) / F.col("kt")
+    east = (1 if south else -1) * F.col("vg") * beta * F.sin("theta") * to_ten_minutes + move * c["vfx"]
+    north = F.col("vg") * beta * F.cos("theta") * to_ten_minutes + move * c["vfy"]
+
+    def slope(across: str, along: str):
+        w = Window.partitionBy("step", across).orderBy(along)
+        back, on = F.lag("pr").over(w), F.lead("pr").over(w)
+        return F.when(back.isNull(), on - F.col("pr")).when(on.isNull(), F.col("pr") - back).otherwise((on - back) / 2)
+
+    j = j.withColumn("py", slope("lon", "lat")).withColumn("px", slope("lat", "lon"))
+    angle = F.degrees(F.atan2("py", "px") + F.signum(c["lat"]) * math.pi / 2)
+    back = F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon"))
+    return j.select(
+        "step", "lat", back.alias("lon"), F.coalesce(F.hypot(east, north), F.lit(0.0)).alias("wind"),
+        F.coalesce(F.when(F.col("known"), F.pmod(270 - angle, F.lit(360.0))), F.lit(0.0)).alias("direction"), F.coalesce(F.col("pr") * 100, F.lit(0.0)).alias("pressure"),
+    )
 
 
 def welch_heights(df: DataFrame, series: str, order: str, value: str, dt: float, segment: int = 512) -> DataFrame:

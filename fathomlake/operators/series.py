@@ -170,3 +170,63 @@ def lagged(df: DataFrame, value: str, lags: dict, key: str, order: list[str]) ->
     for k, n in lags.items():
         out = F.when(F.col(key) == k, F.lag(value, n).over(w)).otherwise(out)
     return df.withColumn("lagged", out)
+
+
+def transition_table(df: DataFrame, label: str, order: list[str], labels: list[str], by: list[str] | None = None) -> DataFrame:
+    """prev and a column p_<label> for each label: the whole matrix of chances, 0 where a change never occurs."""
+    spark = df.sparkSession
+    found = transitions(df, label, order, by).groupBy("prev").agg(*[F.max(F.when(F.col("cur") == x, F.col("probability"))).alias(f"p_{x}") for x in labels])
+    return spark.createDataFrame([(x,) for x in labels], "prev string").join(found, "prev", "left").fillna(0.0)
+
+
+def hourly_unique(df: DataFrame, time: str, by: list[str], order: list[str]) -> DataFrame:
+    """Times rounded to the hour; of several rows of an hour the first stays."""
+    hour = F.timestamp_micros(F.floor(F.unix_micros(time) / 3.6e9 + 0.5).cast("long") * 3_600_000_000)
+    w = Window.partitionBy(*by, "__h").orderBy(*order)
+    rows = df.withColumn("__h", hour)
+    return rows.withColumn("__k", F.row_number().over(w)).filter("__k = 1").withColumn(time, F.col("__h")).drop("__h", "__k")
+
+
+def marked_times(df: DataFrame, time: str, events: DataFrame, event_time: str, name: str = "max_storms") -> DataFrame:
+    """An hourly frame with a flag where an event falls into the row's hour."""
+    hour = lambda c: F.date_trunc("hour", c)
+    hits = events.select(hour(F.col(event_time)).alias("__h")).distinct()
+    return df.join(hits, hour(F.col(time)) == F.col("__h"), "left").withColumn(name, F.col("__h").isNotNull()).drop("__h")
+
+
+def pad_monthly(df: DataFrame, time: str, cols: list[str]) -> DataFrame:
+    """Monthly times from the first row's on, as many as months lie between first and last; a month takes the last row not behind it."""
+    ends = df.agg(F.min(time).alias("a"), F.max(time).alias("b"))
+    months = (F.year("b") - F.year("a")) * 12 + F.month("b") - F.month("a")
+    axis = ends.filter(months > 0).select("a", F.explode(F.sequence(F.lit(0), months - 1)).alias("k")).select(F.add_months("a", F.col("k")).cast("timestamp").alias("__at"))
+    # the last row at or before a month's start is the last one of the months before, or a row of that very time
+    both = axis.select(F.col("__at"), *[F.lit(None).alias(c) for c in cols], F.lit(1).alias("__q")).unionByName(df.select(F.col(time).cast("timestamp").alias("__at"), *cols, F.lit(0).alias("__q")), allowMissingColumns=True)
+    last = both.filter("__q = 0").groupBy(F.trunc("__at", "month").alias("__m")).agg(F.max_by(F.struct(*cols), "__at").alias("__last"))
+    exact = df.select(F.col(time).cast("timestamp").alias("__at"), F.struct(*cols).alias("__exact"))
+    w = Window.orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)  # one row for each month
+    months_held = axis.select(F.trunc("__at", "month").alias("__m"), "__at").join(last, "__m", "left")
+    filled = months_held.withColumn("__before", F.last("__last", ignorenulls=True).over(w))
+    value = filled.join(exact.dropDuplicates(["__at"]), "__at", "left")
+    return value.select(F.col("__at").alias(time), *[F.coalesce(F.col("__exact"), F.col("__before"))[c].alias(c) for c in cols])
+
+
+def year_cycle(df: DataFrame, time: str) -> DataFrame:
+    """day, fraction: every day from the first to the last of the frame, in years of 365.25 days since the first's new year."""
+    ends = df.agg(F.min(time).cast("date").alias("a"), F.max(time).cast("date").alias("b"))
+    days = ends.filter("a is not null").select("a", F.explode(F.sequence("a", "b")).alias("day"))
+    return days.select("day", (F.datediff("day", F.trunc("a", "year")) / 365.25).alias("fraction"))
+
+
+def generic_year(spark, year: int = 1981, month: int = 1) -> DataFrame:
+    """day: the 365 days of a year from a month on."""
+    return spark.range(365).select(F.date_add(F.make_date(F.lit(year), F.lit(month), F.lit(1)), F.col("id").cast("int")).alias("day"))
+
+
+def sampled_line(df: DataFrame, by: list[str], x: str, y: str, step: float) -> DataFrame:
+    """by, k, x, y: a broken line at x0, x0 + step, ... before its last x."""
+    w = Window.partitionBy(*by).orderBy(x)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.select(*by, F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("ya"), F.lead(F.col(x).cast("double")).over(w).alias("b"), F.lead(F.col(y).cast("double")).over(w).alias("yb"), F.first(F.col(x).cast("double")).over(whole).alias("x0"))
+    rows = rows.filter("b > a").withColumn("k0", F.ceil((F.col("a") - F.col("x0")) / step)).withColumn("k1", F.ceil((F.col("b") - F.col("x0")) / step) - 1)
+    at = rows.filter("k1 >= k0").withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumn("at", F.col("x0") + F.col("k") * step)
+    return at.select(*by, "k", F.col("at").alias(x), (F.col("ya") + (F.col("yb") - F.col("ya")) * (F.col("at") - F.col("a")) / (F.col("b") - F.col("a"))).alias(y))

@@ -201,3 +201,147 @@ def autologistic_model(df: DataFrame, label: str, time: str, by: list[str]):
         VectorAssembler(inputCols=["__cos", "__sin", "__h"], outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol="__y", family="multinomial", regParam=1e-5, predictionCol="__c", probabilityCol="probability"),
     ]
     return Pipeline(stages=stages).fit(terms), terms
+
+
+def storm_segments(df: DataFrame, storm: str, time: str, lat: str, lon: str, pressure: str, wind: str, radius: str, warm: int = 4) -> DataFrame:
+    """Every inner fix of a storm (6 hours apart) as a target segment behind a warm-up of ``warm`` segments.
+
+    Adds warm-up speed (kt) and heading, the last warm-up segment's pressure, wind and radius, the change of all of them
+    over the target segment, and the end points (lat_w, lon_w), (lat_i, lon_i), (lat_t, lon_t). Where fewer segments
+    precede, the first one is prolonged backwards along its great circle. Turns count to the right in the northern hemisphere.
+    """
+    w = Window.partitionBy(storm).orderBy(time)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.select("*", (F.row_number().over(w) - 1).alias("__i"), F.count(F.lit(1)).over(whole).alias("__n"))
+    for c in (lat, lon, pressure, wind, radius, time):
+        rows = rows.withColumn(f"__p_{c}", F.lag(c).over(w)).withColumn(f"__n_{c}", F.lead(c).over(w)).withColumn(f"__w_{c}", F.lag(c, warm).over(w))
+    for c in (lat, lon):
+        rows = rows.withColumn(f"__0_{c}", F.first(c).over(whole)).withColumn(f"__1_{c}", F.nth_value(c, 2).over(whole))
+    back = geo.azimuth(F.col(f"__0_{lat}"), F.col(f"__0_{lon}"), F.col(f"__1_{lat}"), F.col(f"__1_{lon}")) + 180
+    arc = geo.arc_distance(F.col(f"__0_{lat}"), F.col(f"__0_{lon}"), F.col(f"__1_{lat}"), F.col(f"__1_{lon}")) * (warm - F.col("__i"))
+    shot = geo.shoot(F.col(f"__0_{lat}"), F.col(f"__0_{lon}"), back, arc)
+    rows = rows.withColumn("lat_w", F.coalesce(F.col(f"__w_{lat}"), shot["lat"])).withColumn("lon_w", F.coalesce(F.col(f"__w_{lon}"), shot["lon"]))
+    rows = rows.withColumn("lat_i", F.col(lat)).withColumn("lon_i", F.col(lon)).withColumn("lat_t", F.col(f"__n_{lat}")).withColumn("lon_t", F.col(f"__n_{lon}"))
+    hours = (F.unix_micros(F.col(f"__n_{time}")) - F.unix_micros(time)) / 3.6e9
+    v0 = geo.mean_velocity(F.col("lat_w"), F.col("lon_w"), F.col("lat_i"), F.col("lon_i"), F.lit(6.0 * warm))["speed"]
+    v1 = geo.mean_velocity(F.col("lat_i"), F.col("lon_i"), F.col("lat_t"), F.col("lon_t"), hours)["speed"]
+    a0, a1 = geo.azimuth(F.col("lat_w"), F.col("lon_w"), F.col("lat_i"), F.col("lon_i")), geo.azimuth(F.col("lat_i"), F.col("lon_i"), F.col("lat_t"), F.col("lon_t"))
+    turn = a1 - a0
+    turn = F.when(turn > 180, turn - 360).when(turn < -180, turn + 360).when(F.abs(turn) != 180, turn)
+    changes = [(F.col(c) - F.col(f"__p_{c}")).alias(n) for c, n in ((pressure, "dpseg"), (wind, "dwseg"), (radius, "drseg"))]
+    before = [F.col(f"__p_{c}").alias(n) for c, n in ((pressure, "pseg"), (wind, "wseg"), (radius, "rseg"))]
+    inner = rows.filter((F.col("__i") >= 1) & (F.col("__i") <= F.col("__n") - 2))
+    return inner.select(
+        *df.columns, (v0 / 1.852).alias("vseg"), ((v1 - v0) / 1.852).alias("dvseg"), *before, *changes, a0.alias("aseg"), (F.signum(lat) * turn).alias("daseg"),
+        F.col(lat).alias("lseg"), F.abs(lat).alias("laseg"), F.abs(F.col("lat_t") - F.col(lat)).alias("dlaseg"), "lat_w", "lon_w", "lat_i", "lon_i", "lat_t", "lon_t",
+    )
+
+
+def trim_segments(df: DataFrame, storm: str, time: str, at: tuple[float, float], radius: float) -> DataFrame:
+    """Segments from a storm's first to its last with an end of its target nearer than ``radius`` degrees to a point (lat, lon); a single segment is no storm."""
+    d = [geo.arc_distance(F.col(f"lat_{k}"), F.col(f"lon_{k}"), F.lit(float(at[0])), F.lit(float(at[1]))) for k in ("i", "t")]
+    many = df.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy(storm))).filter("__k > 1").drop("__k")
+    return trim_to_hits(many, storm, time, F.least(*d) < radius)
+
+
+def straight_tracks(cases: DataFrame, case: str, hours: int) -> DataFrame:
+    """case, hour, lat, lon of storms that move on straight lines from where they enter a box's side.
+
+    ``cases`` has case, pmin, vmean (km/h), delta and gamma (degrees), x0, y0, x1 and r: the storm passes the circle of radius r about
+    (x0, y0) at bearing delta, on course gamma, and comes from longitude x1.
+    """
+    d, g = F.radians("delta"), F.radians("gamma")
+    xc, yc = F.col("x0") + F.col("r") * F.sin(d), F.col("y0") + F.col("r") * F.cos(d)
+    y1 = yc + (F.col("x1") - xc) / F.sin(g) * F.cos(g)
+    step = F.degrees(F.col("vmean") / 6378.135)
+    rows = cases.withColumn("__y1", y1).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))))
+    return rows.select(case, "hour", (F.col("__y1") - step * F.cos(g) * F.col("hour")).alias("lat"), (F.col("x1") - step * F.sin(g) * F.col("hour")).alias("lon"), "pmin")
+
+
+def extended_track(df: DataFrame, storm: str, time: str, minutes: int, extra_hours: float) -> DataFrame:
+    """A storm's rows on a regular time axis that goes on ``extra_hours`` behind its last fix; new rows are null, and level and tide are 0."""
+    ends = df.groupBy(storm).agg(F.min(time).alias("a"), F.max(time).alias("b"))
+    steps = F.floor(((F.unix_micros("b") - F.unix_micros("a")) / 3.6e9 + extra_hours) * 60 / minutes).cast("long")
+    axis = ends.filter(steps > 0).select(storm, F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)).alias("step"), F.col("a"))
+    axis = axis.select(storm, F.timestamp_micros(F.unix_micros("a") + F.col("step") * (minutes * 60_000_000)).alias(time))
+    return axis.join(df, [storm, time], "left").withColumn("level", F.lit(0.0)).withColumn("tide", F.lit(0.0))
+
+
+def synthetic_tracks(df: DataFrame, storm: str, time: str, lat: str, lon: str, pressure: str) -> DataFrame:
+    """Fixes with a time and a pressure, times rounded to the hour, with basin, speed (kt), course, category, timestep (hours) and the storm's mean speed."""
+    hour = F.timestamp_micros(F.floor(F.unix_micros(time) / 3.6e9 + 0.5).cast("long") * 3_600_000_000)
+    rows = df.filter(F.col(time).isNotNull() & F.col(pressure).isNotNull() & ~F.isnan(pressure))
+    rows = rows.withColumn(time, hour).withColumn(lon, F.when(F.col(lon) < 0, F.col(lon) + 360).otherwise(F.col(lon)))
+    w = Window.partitionBy(storm).orderBy(time)
+    nxt = lambda c: F.lead(c).over(w)
+    step = (F.unix_micros(nxt(time)) - F.unix_micros(time)) / 3.6e9
+    rows = rows.withColumn("timestep", step).withColumn("__v", geo.mean_velocity(F.col(lat), F.col(lon), nxt(lat), nxt(lon), F.nullif(step, F.lit(0.0))))
+    rows = rows.withColumn("speed", F.col("__v.speed") / 1.852).withColumn("course", F.col("__v.course"))
+    rows = rows.withColumn("storm_speed", F.avg("speed").over(Window.partitionBy(storm)))
+    return rows.withColumn("basin", geo.ocean_basin(F.col(lat), F.col(lon))).withColumn("category", geo.storm_category(F.col(pressure))).drop("__v")
+
+
+def spectral_series(spark, systems: list[tuple[float, float, float]], seconds: int, dt: float = 1.0, n: int = 60, depth: float | None = None, seed: str = "1") -> DataFrame:
+    """t, level of the sea of several wave systems (hs, tp, gamma): cosines with the spectra's amplitudes and phases drawn from an MD5.
+
+    With a ``depth`` each system's spectrum takes the shape that shallow water leaves, and keeps its energy.
+    """
+    step = 0.98 / (n - 1)
+    f = spark.range(n).select("id", (0.02 + F.col("id") * step).alias("f"))
+    spectra = [F.when(F.col("f") > 0, waves.jonswap(F.col("f"), F.lit(float(h)), F.lit(float(t)), g)) for h, t, g in systems]
+    f = f.select("id", "f", *[s.alias(f"s{i}") for i, s in enumerate(spectra)], *([waves.shallow_factor(F.col("f"), F.lit(float(depth))).alias("fi")] if depth else []))
+    total = F.lit(0.0)
+    whole = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # n rows
+    area = lambda c: F.sum(F.when((F.col("id") == 0) | (F.col("id") == n - 1), c / 2).otherwise(c)).over(whole)
+    for i in range(len(systems)):
+        s = F.col(f"s{i}")
+        total = total + (s * F.col("fi") * area(s) / area(s * F.col("fi")) if depth else s)
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double")
+    f = f.select("f", F.sqrt(2 * total * step).alias("a"), ((bits + 0.5) / float(1 << 52) * (2 * math.pi)).alias("phase"))
+    t = spark.range(int(seconds / dt)).select((F.col("id") * dt).alias("t"))
+    return t.crossJoin(F.broadcast(f)).groupBy("t").agg(F.sum(F.col("a") * F.cos(2 * math.pi * F.col("f") * F.col("t") + F.col("phase"))).alias("level"))
+
+
+def superpoint(df: DataFrame, station: str, direction: str, energy: str, by: list[str], sectors: dict[str, tuple[float, float]], overlap: float = 0.0) -> DataFrame:
+    """by, direction, energy of stations put together, each with its sector of directions; a sector whose ends fall wraps.
+
+    Without overlap a sector holds its start and not its end. With it, sectors are widened on both sides with their ends, and where
+    several hold a direction their energies are averaged.
+    """
+    x = F.col(direction)
+    inside = F.lit(False)
+    for name, (a, b) in sectors.items():
+        if overlap:
+            hit = (x >= a - overlap) | (x <= b + overlap) if b < a else (x >= a - overlap) & (x <= b + overlap)
+        else:
+            hit = (x >= a) & (x < b) if a < b else (x >= a) | (x < b)
+        inside = inside | ((F.col(station) == name) & hit)
+    out = df.groupBy(*by, direction).agg(F.coalesce(F.sum(F.when(inside, F.col(energy))), F.lit(0.0)).alias("e"), F.count(F.when(inside, 1)).alias("k"))
+    return out.select(*by, direction, (F.col("e") / F.greatest(F.col("k"), F.lit(1)) if overlap else F.col("e")).alias(energy))
+
+
+def altimeter_heights(df: DataFrame, lat: str, lon: str, depth: str, box: tuple[float, float, float, float], flags: list[str], heights: list[str], deepest: float = -200.0) -> DataFrame:
+    """Good altimeter rows inside a box (lat from, to, lon from, to) over deep water, with hs_cal: the bands' heights added, null as 0."""
+    total = lambda cols: sum((F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0)) for c in cols), F.lit(0.0))
+    inside = (F.col(lat) > box[0]) & (F.col(lat) < box[1]) & (F.col(lon) > box[2]) & (F.col(lon) < box[3]) & (F.col(depth) < deepest)
+    return df.filter(inside & (total(flags) < 1.5)).withColumn("hs_cal", total(heights))
+
+
+def runup_heights(df: DataFrame, case: str, order: str, level: str) -> DataFrame:
+    """case, ru2: the 98th percentile of a run-up series' local peaks."""
+    w = Window.partitionBy(case).orderBy(order)
+    peaks = df.withColumn("__a", F.lag(level).over(w)).withColumn("__b", F.lead(level).over(w)).filter((F.col(level) > F.col("__a")) & (F.col(level) > F.col("__b")))
+    return peaks.groupBy(case).agg(F.percentile(level, F.lit(0.98)).alias("ru2"))
+
+
+def level_statistics(df: DataFrame, by: list[str], level: str) -> DataFrame:
+    """by, setup (mean level), hrms (2 sqrt 2 standard deviations)."""
+    return df.groupBy(*by).agg(F.avg(level).alias("setup"), (2 * math.sqrt(2) * F.stddev_pop(level)).alias("hrms"))
+
+
+def presence_matrix(spark, names: list[str]) -> DataFrame:
+    """pattern and a 0/1 column for each name: every pattern with at least one present, the last being all."""
+    if len(names) > 20:
+        raise ValueError("at most 20 names: patterns double with each")
+    bits = F.col("id") + 1
+    return spark.range((1 << len(names)) - 1).select(bits.alias("pattern"), *[F.shiftright(bits, i).bitwiseAND(F.lit(1)).cast("int").alias(n) for i, n in enumerate(names)])

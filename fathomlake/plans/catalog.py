@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomlake.functions import angles, extremes as ev, geo, waves as wv
@@ -18,33 +16,14 @@ from fathomlake.operators import series as se
 from fathomlake.operators import storms as st
 from fathomlake.sources import files
 from fathomlake.plans.inputs import WAVES, rounded, table, waves
+from fathomlake.plans.registry import ORACLES, QUERIES, per_wave, query
 
 ENTRY = "event_type_probabilities"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 C = F.col
 HPOS = "(sin(radians(lat2-lat1)/2)*sin(radians(lat2-lat1)/2) + cos(radians(lat1))*cos(radians(lat2))*sin(radians(lon2-lon1)/2)*sin(radians(lon2-lon1)/2))"
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-def query(sql: str | None = None):
-    """Register the function under its name; doubles of the result are rounded to six digits."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf: rounded(f(spark, sf))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def per_wave(name: str, cols: dict, sql: str) -> None:
-    """A query of expressions over the waves; ``sql`` selects from w."""
-    QUERIES[name] = lambda spark, sf: rounded(waves(spark, sf).select("id", *[(c() if callable(c) else c).alias(k) for k, c in cols.items()]))
-    ORACLES[name] = f"WITH {WAVES} SELECT id, {sql} FROM w"
-
-
 # --- scaling and cleaning
 @query("SELECT l_orderkey, l_linenumber, round((l_quantity-min(l_quantity) OVER ())/(max(l_quantity) OVER ()-min(l_quantity) OVER ()),6)::DOUBLE AS l_quantity, round(l_extendedprice::DOUBLE/262144,6) AS l_extendedprice FROM lineitem")
 def normalize(spark, sf):
@@ -228,20 +207,14 @@ def _hours(spark, sf):
     return table(spark, sf, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("ts")).agg(F.round(F.max("value"), 4).alias("v"))
 
 
-@query(f"WITH {HOURS}, n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM h) SELECT user_id, unnest(generate_series(ts, coalesce(nx - INTERVAL 1 MICROSECOND, ts), INTERVAL 1 HOUR)) AS ts, v FROM n WHERE user_id % 20 = 0")
+@query(f"WITH {HOURS}, n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM h) SELECT user_id, unnest(generate_series(ts, coalesce(nx - INTERVAL 1 MICROSECOND, ts), INTERVAL 1 HOUR)) AS ts, v FROM n")
 def forward_fill_hourly(spark, sf):
-    """The series that the SQL checks, a twentieth; forward_fill_hourly_all fills every one."""
-    return se.forward_fill(_hours(spark, sf).filter("user_id % 20 = 0"), "ts", ["v"], "1 hour", ["user_id"])
-
-
-@query()
-def forward_fill_hourly_all(spark, sf):
     return se.forward_fill(_hours(spark, sf), "ts", ["v"], "1 hour", ["user_id"])
 
 
-@query("WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS ts, max(value) AS v FROM events WHERE event_type='signup' GROUP BY 1), s AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM d) SELECT s.ts, round(last_value(d.v IGNORE NULLS) OVER (ORDER BY s.ts),6) AS v FROM s LEFT JOIN d ON s.ts=d.ts")
+@query("WITH d AS (SELECT o_orderdate::TIMESTAMP AS ts, max(o_totalprice)::DOUBLE AS v FROM orders GROUP BY 1), s AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM d) SELECT s.ts, round(last_value(d.v IGNORE NULLS) OVER (ORDER BY s.ts),6) AS v FROM s LEFT JOIN d ON s.ts=d.ts")
 def pad_daily(spark, sf):
-    d = table(spark, sf, "events").filter("event_type = 'signup'").groupBy(F.date_trunc("day", "ts").alias("ts")).agg(F.max("value").alias("v"))
+    d = table(spark, sf, "orders").groupBy(C("o_orderdate").cast("timestamp").alias("ts")).agg(F.max("o_totalprice").cast("double").alias("v"))
     return se.pad_to_spine(d, "ts", ["v"], "1 day")
 
 
@@ -387,7 +360,7 @@ def gpd_fits(spark, sf):
 @query()
 def gev_return_levels(spark, sf):
     m = ex.fixed_block_maxima(table(spark, sf, "events"), "value", ["ts", "event_id"], ["event_type"], 20)
-    return rounded(ex.gev_return_levels(m, "value", [10.0, 100.0], resamples=16), 3)
+    return rounded(ex.gev_return_levels(m, "value", [10.0, 100.0], resamples=1000), 3)
 
 
 # --- models
@@ -530,15 +503,8 @@ def hydrographs(spark, sf):
     return st.hydrographs(waves(spark, sf), "event_type", "ts", "hs", "tp", ["user_id"])
 
 
-@query("SELECT event_id, hour::INT AS hour, round(value*greatest(0,least(hour/10.0::DOUBLE/0.3, (1-hour/10.0::DOUBLE)/0.7)),6) AS level FROM events CROSS JOIN (SELECT unnest(range(11)) AS hour) WHERE event_id<100")
+@query("SELECT event_id, hour::INT AS hour, round(value*greatest(0,least(hour/10.0::DOUBLE/0.3, (1-hour/10.0::DOUBLE)/0.7)),6) AS level FROM events CROSS JOIN (SELECT unnest(range(11)) AS hour)")
 def triangular_hydrograph(spark, sf):
-    """The events that the SQL checks, a hundred; triangular_hydrograph_all takes every one."""
-    e = table(spark, sf, "events").filter("event_id < 100").select("event_id", "value", F.lit(10.0).alias("h"), F.lit(0.3).alias("tau"))
-    return st.triangular_hydrograph(e, "event_id", "value", "h", "tau")
-
-
-@query()
-def triangular_hydrograph_all(spark, sf):
     e = table(spark, sf, "events").select("event_id", "value", F.lit(10.0).alias("h"), F.lit(0.3).alias("tau"))
     return st.triangular_hydrograph(e, "event_id", "value", "h", "tau")
 
