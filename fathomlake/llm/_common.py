@@ -35,6 +35,26 @@ def held(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative ``op`` over an array, in blocks of the root of its length: appending copies an array, and blocks keep copies short."""
+
+    def fold(part: Column) -> Column:
+        empty = F.slice(part, 1, 0)
+        return F.aggregate(part, empty, lambda a, x: F.concat(a, F.array(F.coalesce(op(F.get(a, F.size(a) - 1), x), x))))
+
+    def joined(parts: Column) -> Column:
+        return let(
+            fold(F.transform(parts, lambda p: F.get(p, F.size(p) - 1))),
+            lambda upto: F.flatten(F.transform(parts, lambda p, b: let(F.get(upto, b - 1), lambda before: F.transform(p, lambda x: F.coalesce(op(before, x), x))))),
+        )
+
+    def blocks(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return let(width, lambda w: joined(F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / w).cast("int") - 1), lambda b: fold(F.slice(v, b * w + 1, w)))))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(blocks(v)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (as in tests) gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -7,7 +7,7 @@ Covered positions of a document are merged, so that overlapping windows remove a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents, held, let, stored, text_of
@@ -15,11 +15,16 @@ from ._common import documents, held, let, stored, text_of
 WINDOW = 3
 
 
+def text_name(text) -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(text)
+
+
 def _windows(docs: DataFrame, width: int) -> DataFrame:
-    r"""doc_id, pos, h for every window of ``width`` lines of which one has a word."""
-    lines = docs.select("doc_id", held(F.split(text_of(docs), "\n", -1)).alias("lines"))
+    r"""doc_id, name (of the text), pos, h for every window of ``width`` lines of which one has a word."""
+    lines = docs.select("doc_id", text_of(docs).alias("text")).select("doc_id", text_name("text").alias("name"), held(F.split("text", "\n", -1)).alias("lines"))
     lines = lines.filter(F.size("lines") >= width).select(
-        "doc_id", held(F.transform("lines", lambda x: F.struct(F.unhex(F.md5(x)).alias("h"), x.rlike(r"[^\x20\x09-\x0D]").alias("w")))).alias("lines")
+        "doc_id", "name", held(F.transform("lines", lambda x: F.struct(F.unhex(F.md5(x)).alias("h"), x.rlike(r"[^\x20\x09-\x0D]").alias("w")))).alias("lines")
     )
 
     def one(i):
@@ -31,8 +36,8 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
             ),
         )
 
-    found = lines.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines") - (width - 1)), one)).alias("x"))
-    return found.filter("x is not null").select("doc_id", "x.pos", "x.h")
+    found = lines.select("doc_id", "name", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines") - (width - 1)), one)).alias("x"))
+    return found.filter("x is not null").select("doc_id", "name", "x.pos", "x.h")
 
 
 def line_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -41,24 +46,21 @@ def line_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     Lines are split at \n alone and compared whole. ``spans`` lists the removed runs as [first line, lines].
     Texts of fewer than ``width`` lines keep all; a window without a word never counts, so blank runs stay. Null
     text is empty and stays empty; an empty text is one empty line. The first occurrence is the one with the
-    smallest doc_id (null first), then line; rows repeating a doc_id count as one document. No rows give none; other columns are ignored.
+    smallest doc_id (null first), then line; of a doc_id's different texts one fixed one comes first, and rows that repeat
+    doc_id and text keep and lose the same lines. No rows give none; other columns are ignored.
     """
     windows = stored(_windows(docs, width).distinct(), "windows")
-    firsts = windows.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = windows.join(firsts, "h").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
-    marks = later.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-
-    def merge(acc, p):
-        end = F.element_at(acc, -1)
-        grown = let(
-            end,
-            lambda e: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(e["first"].alias("first"), (p + width - e["first"]).cast("int").alias("lines")))),
-        )
-        fresh = F.array(F.struct(p.alias("first"), F.lit(width).alias("lines")))
-        return F.when(F.size(acc) == 0, fresh).when(p <= end["first"] + end["lines"], grown).otherwise(F.concat(acc, fresh))
-
-    spans = marks.select("doc_id", F.aggregate("at", F.lit([]).cast("array<struct<first:int,lines:int>>"), merge).alias("spans"))
-    both = docs.select("doc_id", text_of(docs).alias("text")).alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
+    firsts = windows.groupBy("h").agg(F.min(F.struct("doc_id", "name", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("name") == F.col("first.name")) & (F.col("pos") == F.col("first.pos"))
+    later = windows.join(firsts, "h").filter(~here)
+    marks = later.groupBy("doc_id", "name").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    # a run starts where no window before reaches, and ends where none behind starts
+    starts = F.filter("at", lambda p, i: F.coalesce(p > F.get("at", i - 1) + width, F.lit(True)))
+    ends = F.filter("at", lambda p, i: F.coalesce(F.get("at", i + 1) > p + width, F.lit(True)))
+    runs = F.zip_with(starts, ends, lambda a, z: F.struct(a.alias("first"), (z + width - a).cast("int").alias("lines")))
+    spans = marks.select("doc_id", "name", runs.alias("spans"))
+    texts = docs.select("doc_id", text_of(docs).alias("text"))
+    both = texts.withColumn("name", text_name("text")).alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.name") == F.col("s.name")), "left")
     both = both.select("d.doc_id", "text", F.coalesce("spans", F.lit([]).cast("array<struct<first:int,lines:int>>")).alias("spans"))
 
     def cut(text, spans):

@@ -51,6 +51,17 @@ def test_line_dedup(spark, seed):
     assert line_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_line_dedup_of_repeated_doc_ids_and_many_runs(spark):
+    """Different texts of one doc_id lose their own lines only; a text with many separate runs takes time in proportion."""
+    shared = "one\ntwo\nthree"
+    rows = [(1, shared, None, 0), (5, f"own a\n{shared}\nown b", None, 0), (5, "quite\nanother\ntext\nhere", None, 0), (5, f"own a\n{shared}\nown b", None, 0)]
+    long = "\n".join(f"{shared}\nline {i}" for i in range(5000))
+    got = line_dedup(spark.createDataFrame(rows + [(9, long, None, 0)], SCHEMA).repartition(3)).collect()
+    texts = sorted((r.doc_id, r.text, r.n_removed) for r in got)
+    assert texts[:4] == [(1, shared, 0), (5, "own a\nown b", 3), (5, "own a\nown b", 3), (5, "quite\nanother\ntext\nhere", 0)]
+    assert texts[4][2] == 15_000 and texts[4][1].startswith("line 0\nline 1\n")
+
+
 def near_corpus(seed):
     rng = random.Random(seed)
     vocab = ["w%d" % i for i in range(60)]
