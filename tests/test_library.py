@@ -14,7 +14,7 @@ from fathomlake.operators import joins as jn
 from fathomlake.operators import models as md
 from fathomlake.operators import series as se
 from fathomlake.operators import storms as st
-from fathomlake.plans import catalog
+from fathomlake.plans import catalog, more  # noqa: F401  more registers queries
 from fathomlake.sources import files
 from fathomlake.streaming import windows
 from pyspark.sql import functions as F
@@ -203,7 +203,7 @@ def test_forward_fill_fills_every_series(spark):
         known = sorted(at)
         for a, b in zip(known, known[1:] + [known[-1] + 1]):
             want |= {(user, h): max(at[a]) for h in range(a, b)}
-    rows = catalog.QUERIES["forward_fill_hourly_all"](spark, SF).select("user_id", (F.unix_timestamp("ts") / 3600).cast("long").alias("h"), "v").collect()
+    rows = catalog.QUERIES["forward_fill_hourly"](spark, SF).select("user_id", (F.unix_timestamp("ts") / 3600).cast("long").alias("h"), "v").collect()
     got = {(r.user_id, r.h): r.v for r in rows}
     assert len(rows) == len(got) and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
@@ -262,7 +262,7 @@ def test_triangular_hydrograph_takes_every_event(spark):
     for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "value").collect():
         for hour in range(11):
             want[r.event_id, hour] = r.value * (hour / 3 if hour <= 3 else (10 - hour) / 7)
-    rows = catalog.QUERIES["triangular_hydrograph_all"](spark, SF).collect()
+    rows = catalog.QUERIES["triangular_hydrograph"](spark, SF).collect()
     got = {(r.event_id, r.hour): r.level for r in rows}
     assert len(rows) == len(got) and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
