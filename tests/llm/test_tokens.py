@@ -95,3 +95,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids[2] == [0, 1, 2, *range(4, 13)]
     assert set(ids[3]) <= set(ids[2]) and ids[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(set(ids[3]))
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null, repeated and clashing: every stage returns its input's columns, rows that share a doc_id stay or go together, and no rows give none."""
+    clash = "doc_id bigint, text string, source string, __chosen int, __copies int, __copy int, copies string, node bigint, size int"
+    long = [" ".join(f"u{i}v{j}" for j in range(90)) for i in range(4)]
+    rows = [(1, long[0], "a", 7, 8, 9, "x", 1, 2), (1, long[1], "a", 7, 8, 9, "x", 1, 2), (2, long[2], None, None, None, None, None, None, None), (None, long[3], "b", 1, 1, 1, "y", 3, 4), (None, None, "b", 1, 1, 1, "y", 3, 4), (3, "", "a", 1, 1, 1, "z", 5, 6)]
+    docs = spark.createDataFrame(rows, clash)
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.collect()} <= set(rows), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept if r.text) == sorted([(1, long[0]), (1, long[1]), (2, long[2]), (0, long[3])])
+    last = corpus_pipeline.STAGES[-1][1]
+    assert {r.doc_id for r in last(spark, docs, str(tmp_path)).collect()} == {1, 2, 3, None} and last(spark, docs.limit(0), str(tmp_path)).collect() == []
