@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import global_ranks
+
 
 def block_maxima(df: DataFrame, value: str, time: str, by: list[str], kind: str = "year") -> DataFrame:
     """Largest value of each series' year or month, with its time (the earliest on ties)."""
@@ -26,8 +28,8 @@ def fixed_block_maxima(df: DataFrame, value: str, order: list[str], by: list[str
 
 def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Rank by (n + 1)."""
-    part = Window.partitionBy(*by)
-    return df.withColumn("ecdf", F.rank().over(part.orderBy(value)) / (F.count(F.lit(1)).over(part) + 1))
+    ranked = global_ranks(df, value, by, name="__rank", total="__total")
+    return ranked.select(*df.columns, (F.col("__rank") / (F.col("__total") + 1)).alias("ecdf"))
 
 
 def mean_excess(df: DataFrame, value: str, thresholds: list[float]) -> DataFrame:
@@ -194,9 +196,168 @@ def quantile_map(sim: DataFrame, value: str, by: list[str], loc: float, scale: f
 
 def cramer_von_mises(df: DataFrame, value: str, cdf) -> DataFrame:
     """n and the statistic 1/12n + sum ((2i - 1)/2n - F(x_i))^2."""
-    i, n = F.row_number().over(Window.orderBy(value)), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    gap = F.pow((2 * i - 1) / (2 * n) - cdf(F.col(value)), F.lit(2.0))
-    return df.select(gap.alias("g")).agg(F.count("g").alias("n"), (1 / (12 * F.count("g")) + F.sum("g")).alias("statistic"))
+    ranked = global_ranks(df.select(F.col(value).alias("__v")).dropna(), "__v", name="__i", total="__n", unique=True)
+    gap = F.pow((2 * F.col("__i") - 1) / (2 * F.col("__n")) - cdf(F.col("__v")), F.lit(2.0))
+    return ranked.select(gap.alias("g")).agg(F.count("g").alias("n"), (1 / (12 * F.count("g")) + F.sum("g")).alias("statistic"))
+
+
+def cramer_von_mises_p(statistic: float) -> float:
+    """Chance of a larger statistic under the hypothesis, from the series of the limiting distribution."""
+    if statistic <= 0:
+        return 1.0
+    t = np.linspace(0, 12, 4001)
+    total, factor = 0.0, 1.0
+    for k in range(30):
+        y = (4 * k + 1) ** 2 / (16 * statistic)
+        bessel = np.trapezoid(np.exp(-2 * y - y * (np.cosh(t) - 1)) * np.cosh(t / 4), t)  # exp(-y) K_1/4(y)
+        total += factor * math.sqrt(4 * k + 1) * bessel
+        factor *= (k + 0.5) / (k + 1)
+    return float(min(1.0, max(0.0, 1 - total / (math.pi * math.sqrt(statistic)))))
+
+
+def fit_distribution(x: np.ndarray, kind: str, fixed: dict[int, float] | None = None) -> np.ndarray:
+    """Parameters of a GEV (location, scale, shape) or GPD (threshold, scale, shape) by maximum likelihood; those of ``fixed`` (by place) stay."""
+    fixed = fixed or ({0: 0.0} if kind == "gpd" else {})
+    start = np.array([float(x.mean()), max(float(x.std()), 1e-9), 0.1])
+    free = [i for i in range(3) if i not in fixed]
+
+    def whole(p: np.ndarray) -> np.ndarray:
+        out = start.copy()
+        out[free] = p
+        for i, v in fixed.items():
+            out[i] = v
+        return out
+
+    def nll(p: np.ndarray) -> float:
+        loc, scale, xi = whole(p)
+        if kind == "gpd":
+            return math.inf if (x < loc).any() else _nll_gpd(np.array([scale, xi]), x - loc)
+        return _nll_gev(np.array([loc, scale, xi]), x)
+
+    return whole(nelder_mead(nll, start[free])) if free else whole(np.zeros(0))
+
+
+def distribution_fits(df: DataFrame, value: str, by: str, kind: str, fixed: dict[int, float] | None = None, least: int = 10) -> DataFrame:
+    """by, n, p0, p1, p2, nll of each series, with fixed parameters by place. A group is one series of maxima or peaks."""
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        x = p[value].dropna().to_numpy(float)
+        if kind == "gpd":
+            x = x[x >= (fixed or {}).get(0, 0.0)]
+        names = [by, "n", "p0", "p1", "p2", "nll"]
+        if len(x) < least:
+            return pd.DataFrame({n: [] for n in names})
+        q = fit_distribution(x, kind, fixed)
+        nll = _nll_gpd(q[1:], x - q[0]) if kind == "gpd" else _nll_gev(q, x)
+        return pd.DataFrame([[p[by].iloc[0], len(x), *q, nll]], columns=names)
+
+    return df.select(by, value).groupBy(by).applyInPandas(fit, f"{by} {dict(df.dtypes)[by]}, n long, p0 double, p1 double, p2 double, nll double")
+
+
+def peak_rows(df: DataFrame, value: str, order: list[str], by: list[str], threshold: float, distance: int = 2) -> DataFrame:
+    """Local peaks over a threshold of which none has a larger one within ``distance`` rows; of equal neighbours the earlier stays.
+
+    Peaks are taken from the largest down; one that falls to a larger peak doesn't make others fall, which two passes over its
+    neighbourhood settle for all but chains of more than three.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    x = F.greatest(F.col(value) - threshold, F.lit(0.0))
+    rows = df.withColumn("__x", x).withColumn("__i", F.row_number().over(w))
+    rows = rows.withColumn("__peak", (F.col("__x") > F.coalesce(F.lag("__x").over(w), F.lit(math.inf))) & (F.col("__x") >= F.coalesce(F.lead("__x").over(w), F.lit(math.inf))))
+    peaks = rows.filter("__peak")
+    near = Window.partitionBy(*by).orderBy("__i").rangeBetween(-distance, distance)
+    best = F.max(F.struct("__x", (-F.col("__i")).alias("i"))).over(near)
+    return peaks.withColumn("__b", best).filter(F.col("__b.i") == -F.col("__i")).drop("__b", "__x", "__i", "__peak")
+
+
+class ExtremeCorrection:
+    """Correction of simulated series by the extremes of a historical one.
+
+    ``fit`` takes the historical annual maxima (method "am": GEV) or peaks over a threshold ("pot": GPD with the yearly rate of
+    peaks). ``transform`` compares the simulations' annual maxima with the fit (Cramér-von Mises); unless they agree, they
+    become the fit's quantiles at their ranks, and every simulated value is moved along the line between annual maxima.
+    """
+
+    def __init__(self, value: str, time: str, method: str = "pot", threshold: float = 0.0, distance: int = 2):
+        if method not in ("am", "pot"):
+            raise ValueError("method is am or pot")
+        self.value, self.time, self.method, self.threshold, self.distance = value, time, method, threshold, distance
+
+    def _annual(self, df: DataFrame, by: list[str]) -> DataFrame:
+        return block_maxima(df, self.value, self.time, by, "year").filter(F.col(self.value).isNotNull()).select(*by, self.value)
+
+    def fit(self, hist: DataFrame) -> ExtremeCorrection:
+        maxima = self._annual(hist, []).limit(MOST_MAXIMA).toPandas()[self.value].to_numpy(float)  # one for each year
+        if not len(maxima):
+            raise ValueError("no historical values")
+        if self.method == "am":
+            self.rate, self.parameters = 1.0, fit_distribution(maxima, "gev")
+            return self
+        peaks = peak_rows(hist.select(self.time, self.value), self.value, [self.time], [], self.threshold, self.distance).select(self.value)
+        found = peaks.limit(MOST_MAXIMA + 1).toPandas()[self.value].to_numpy(float)
+        if len(found) > MOST_MAXIMA:
+            raise ValueError(f"more than {MOST_MAXIMA} peaks: raise the threshold")
+        self.rate = len(found) / len(maxima)
+        self.parameters = fit_distribution(found, "gpd", {0: self.threshold})
+        return self
+
+    def gev(self) -> tuple[float, float, float]:
+        """The annual maxima's distribution that the fit means."""
+        a, scale, xi = (float(v) for v in self.parameters)
+        if self.method == "am":
+            return a, scale, xi
+        grown = self.rate**xi
+        return (a + scale * (grown - 1) / xi if abs(xi) > 1e-8 else a + scale * math.log(self.rate)), scale * grown, xi
+
+    def test(self, sim: DataFrame, sim_id: str) -> tuple[float, float]:
+        """Statistic and chance of the simulations' annual maxima under the fit."""
+        from fathomlake.functions.extremes import gev_cdf
+
+        loc, scale, xi = self.gev()
+        r = cramer_von_mises(self._annual(sim, [sim_id]), self.value, lambda x: gev_cdf(x, loc, scale, xi)).first()
+        return (r["statistic"], cramer_von_mises_p(r["statistic"])) if r["n"] else (0.0, 1.0)
+
+    def transform(self, sim: DataFrame, sim_id: str, siglevel: float = 0.05) -> DataFrame:
+        """The simulations with <value>_corr."""
+        from fathomlake.functions.extremes import gev_quantile, gpd_poisson_quantile
+
+        from .joins import interpolate_at
+
+        out = f"{self.value}_corr"
+        if self.test(sim, sim_id)[1] > siglevel:
+            return sim.withColumn(out, F.col(self.value))
+        a, scale, xi = (float(v) for v in self.parameters)
+        ranked = global_ranks(self._annual(sim, [sim_id]), self.value, name="__i", total="__n", unique=True)
+        p = F.col("__i") / (F.col("__n") + 1)
+        corrected = gev_quantile(p, a, scale, xi) if self.method == "am" else gpd_poisson_quantile(p, a, scale, xi, self.rate)
+        low = sim.agg(F.min(self.value).alias("x"), F.min(self.value).alias("y"))
+        knots = low.union(ranked.select(F.col(self.value).alias("x"), corrected.alias("y")))
+        return interpolate_at(sim, self.value, knots, "x", "y", out)
+
+
+def poisson_return_levels(peaks: DataFrame, value: str, threshold: float, rate: float, years: list[float], resamples: int = 1000, level: float = 0.95, seed: int = 1) -> DataFrame:
+    """years, low, high: bootstrap of the Poisson-GPD's return levels. Every peak over the threshold is resampled; more than MOST_MAXIMA raise ValueError."""
+    found = peaks.filter(F.col(value) > threshold).select(F.col(value).cast("double").alias("v")).limit(MOST_MAXIMA + 1).toArrow()
+    if found.num_rows > MOST_MAXIMA:
+        raise ValueError(f"more than {MOST_MAXIMA} peaks: raise the threshold")
+    spark = peaks.sparkSession
+    held = spark.sparkContext.broadcast(np.sort(found["v"].to_numpy()))
+
+    def resample(parts):
+        x = held.value
+        for p in parts:
+            rows = []
+            for i in p["id"]:
+                rng = np.random.default_rng([seed, int(i)])
+                scale, xi = fit_gpd(rng.choice(x, len(x)), threshold)
+                for t in years:
+                    s = -math.log(1 - 1 / t) / rate
+                    rows.append((t, threshold - scale * math.log(s) if abs(xi) < 1e-8 else threshold + scale / xi * (s**-xi - 1)))
+            yield pd.DataFrame(rows, columns=["years", "level"])
+
+    a = (1 - level) / 2
+    out = spark.range(resamples).mapInPandas(resample, "years double, level double").groupBy("years")
+    return out.agg(*[F.percentile("level", F.lit(q)).alias(n) for n, q in (("low", a), ("high", 1 - a))])
 
 
 def uniform_draws(spark, n: int, seed: str = "1") -> DataFrame:

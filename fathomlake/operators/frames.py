@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomlake.functions import angles
@@ -70,16 +71,50 @@ def metrics(df: DataFrame, true: str, pred: str, by: list[str] | None = None) ->
 
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
-    """pearson and spearman (average ranks; ranks come from counts by value, so no value's rows meet in one task twice)."""
-    from pyspark.sql import Window
-
-    def ranks(c: str) -> DataFrame:
-        n = df.groupBy(c).count()
-        before = F.sum("count").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return n.select(c, (before - (F.col("count") - 1) / 2).alias(f"rank_{c}"))
-
-    both = df.join(ranks(a), a).join(ranks(b), b)
-    return both.agg(F.corr(a, b).alias("pearson"), F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"))
+    """pearson and spearman (average ranks)."""
+    both = global_ranks(global_ranks(df.select(a, b).dropna(), a, name="__ra", ties="__ta"), b, name="__rb", ties="__tb")
+    mean = lambda r, t: F.col(r) + (F.col(t) - 1) / 2
+    return both.agg(F.corr(a, b).alias("pearson"), F.corr(mean("__ra", "__ta"), mean("__rb", "__tb")).alias("spearman"))
+
+
+def global_ranks(df: DataFrame, value: str, by: list[str] = (), name: str = "rank", total: str | None = None, ties: str | None = None, unique: bool = False, then: list[str] = (), bins: int = 64) -> DataFrame:
+    """The frame with each row's rank by ``value`` in its series (``unique``: row numbers, ``then`` settling ties), and if named the series' size and the rank's ties.
+
+    In two steps, so that no series is sorted in one task: rows are cut into bins by approximate quantiles (``bins`` numbers in the
+    driver; equal values share a bin), bins are counted, and a row's rank is what lies in the bins before and its rank in its own.
+    """
+    edges = sorted({float(e) for e in df.approxQuantile(value, [i / bins for i in range(1, bins)], 0.005)})
+    edge = F.array(*[F.lit(e) for e in edges]) if edges else F.lit([]).cast("array<double>")
+    rows = df.withColumn("__bin", F.size(F.filter(edge, lambda e: e <= F.col(value))))
+    counts = rows.groupBy(*by, "__bin").agg(F.count(F.lit(1)).alias("__k"))
+    order = Window.partitionBy(*by).orderBy("__bin") if by else Window.orderBy("__bin")  # at most ``bins`` rows of a series
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    counts = counts.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__bin").alias("__of"), (F.sum("__k").over(order) - F.col("__k")).alias("__before"), F.sum("__k").over(whole).alias("__all"))
+    on = F.col("__bin") == F.col("__of")
+    for i, c in enumerate(by):
+        on = on & rows[c].eqNullSafe(F.col(f"__by{i}"))
+    inside = Window.partitionBy(*by, "__bin").orderBy(value, *then)
+    rank = F.col("__before") + (F.row_number() if unique else F.rank()).over(inside)
+    extra = ([F.col("__all").alias(total)] if total else []) + ([F.count(F.lit(1)).over(Window.partitionBy(*by, "__bin", value)).alias(ties)] if ties else [])
+    return rows.join(counts, on).select(*[rows[c] for c in df.columns], rank.alias(name), *extra)
+
+
+def guided_by_regression(df: DataFrame, rid: str, cols: list[str], targets: list[str], weights: list[float]) -> DataFrame:
+    """rid, the columns scaled by what the weights leave of 1, and each target's least-squares prediction from them scaled by its weight.
+
+    One pass gives the sums of the normal equations, which are as many as pairs of columns.
+    """
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in cols]]
+    y = [F.col(t).cast("double") for t in targets]
+    n = len(x)
+    s = df.agg(*[F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i in range(n) for j in range(i, n)], *[F.sum(x[i] * v).alias(f"y{i}_{k}") for i in range(n) for k, v in enumerate(y)]).first()
+    if s["x0_0"] is None:
+        return df.select(rid, *cols, *targets)
+    gram = np.array([[s[f"x{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+    beta = np.linalg.lstsq(gram, np.array([[s[f"y{i}_{k}"] for k in range(len(y))] for i in range(n)]), rcond=None)[0]
+    left = 1.0 - sum(weights)
+    predicted = [(sum((c * float(b) for c, b in zip(x[1:], beta[1:, k])), F.lit(float(beta[0, k]))) * w).alias(t) for k, (t, w) in enumerate(zip(targets, weights))]
+    return df.select(rid, *[(F.col(c) * left).alias(c) for c in cols], *predicted)
 
 
 def regression(df: DataFrame, y: str, x: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:

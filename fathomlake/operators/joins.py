@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: References up to this number are broadcast to a nested loop; the number is checked before.
@@ -94,13 +96,29 @@ def shifted_accumulation(forcing: DataFrame, response: DataFrame, key: str, step
     return met.groupBy((F.col(step) + F.col(lag)).alias("step"), *out).agg(F.sum(F.col(amount) * F.col(unit)).alias("level"))
 
 
+#: Knots of a broken line that are broadcast to its points; the number is checked.
+MOST_KNOTS = 1_000_000
+
+
+def interpolate_at(df: DataFrame, x: str, knots: DataFrame, kx: str, ky: str, name: str) -> DataFrame:
+    """The frame with the broken line's value at ``x``, flat beyond its ends (of knots with one x, in the order of their values).
+
+    Up to MOST_KNOTS knots are broadcast as sorted arrays, and each batch of rows finds its brackets by binary search.
+    """
+    held = knots.select(F.col(kx).cast("double").alias("x"), F.col(ky).cast("double").alias("y")).dropna().limit(MOST_KNOTS + 1).toPandas().sort_values(["x", "y"])
+    if len(held) > MOST_KNOTS:
+        raise ValueError(f"more than {MOST_KNOTS} knots: thin the line first")
+    line = df.sparkSession.sparkContext.broadcast((held["x"].to_numpy(), held["y"].to_numpy()))
+
+    @F.pandas_udf("double")
+    def at(v: pd.Series) -> pd.Series:
+        a, b = line.value
+        out = np.interp(v.to_numpy(float), a, b) if len(a) else np.full(len(v), np.nan)
+        return pd.Series(out).where(v.notna().to_numpy(), None)
+
+    return df.withColumn(name, at(F.col(x).cast("double")))
+
+
 def bracket_interpolate(points: DataFrame, knots: DataFrame, x: str, y: str) -> DataFrame:
-    """y at each point's x on the line between its knots, flat beyond them: one union and two windows, no range join."""
-    both = points.select(x, F.lit(None).cast("double").alias(y), F.lit(True).alias("__q")).unionByName(knots.select(x, F.col(y).cast("double").alias(y), F.lit(False).alias("__q")))
-    w = Window.orderBy(x, "__q")
-    known = F.when(~F.col("__q"), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
-    prev = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    at = both.select(x, "__q", prev.alias("a"), nxt.alias("b")).filter("__q")
-    line = F.col("a.y") + (F.col("b.y") - F.col("a.y")) * F.coalesce(F.try_divide(F.col(x) - F.col("a.x"), F.col("b.x") - F.col("a.x")), F.lit(0.0))
-    return at.select(x, F.coalesce(line, F.col("a.y"), F.col("b.y")).alias(y))
+    """y at each point's x on the line between its knots, flat beyond them."""
+    return interpolate_at(points.select(x), x, knots, x, y, y)

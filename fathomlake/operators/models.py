@@ -13,36 +13,42 @@ from pyspark.sql import functions as F
 
 from fathomlake.functions.normal import normal_quantile
 
+from .frames import denormalize, global_ranks, normalize, ranges
 from .joins import nearest
 
 
 def max_dissimilarity(df: DataFrame, rid: str, dims: list[str], k: int, circular: list[str] = ()) -> DataFrame:
     """rid, pick: k rows chosen greedily, each the farthest from those chosen; the first has the largest sum (least id on ties).
 
-    One aggregation over the table for each pick: a pick's row is all that reaches the driver, and the distance to the picks
-    is one expression over literals, so no intermediate table grows.
+    Every pick is one pass that lowers a kept column, the least distance to the picks so far, and finds the next pick; the column is
+    persisted (spilling to disk) for the time of a few picks, so the work of a pass doesn't grow with the picks.
     """
-    cols = [F.col(d).cast("double").alias(d) for d in dims]
-    base = df.select(rid, *cols)
-    first = base.agg(F.max(F.struct(sum((F.col(d) for d in dims[1:]), F.col(dims[0])).alias("s"), (-F.col(rid)).alias("i"), *dims)).alias("b")).first()["b"]
-    if first is None:
-        return base.select(rid, F.lit(0).alias("pick")).limit(0)
-    picks = [first]
-
-    def gap(p) -> Column:
-        out = F.lit(0.0)
-        for d in dims:
-            g = F.abs(F.col(d) - float(p[d]))
-            g = F.least(g, 1 - g) if d in circular else g
-            out = out + g * g
-        return out
+    from pyspark import StorageLevel
 
+    now = df.select(rid, *[F.col(d).cast("double").alias(d) for d in dims], F.lit(float("inf")).alias("__near"))
+    best = now.agg(F.max(F.struct(sum((F.col(d) for d in dims[1:]), F.col(dims[0])).alias("s"), (-F.col(rid)).alias("i"), *dims)).alias("b")).first()["b"]
+    if best is None:
+        return df.select(rid, F.lit(0).alias("pick")).limit(0)
+    picks, held = [best], None
     while len(picks) < k:
-        near = F.least(*[gap(p) for p in picks]) if len(picks) > 1 else gap(picks[0])
-        best = base.select(near.alias("s"), (-F.col(rid)).alias("i"), *dims).agg(F.max(F.struct("s", "i", *dims)).alias("b")).first()["b"]
+        gap = F.lit(0.0)
+        for d in dims:
+            g = F.abs(F.col(d) - float(best[d]))
+            g = F.least(g, 1 - g) if d in circular else g
+            gap = gap + g * g
+        now = now.withColumn("__near", F.least("__near", gap))
+        if len(picks) % 16 == 0:  # sixteen passes are folded into the column
+            now = now.persist(StorageLevel.MEMORY_AND_DISK)
+            now.count()
+            if held is not None:
+                held.unpersist()
+            held = now
+        best = now.agg(F.max(F.struct(F.col("__near").alias("s"), (-F.col(rid)).alias("i"), *dims)).alias("b")).first()["b"]
         if best["s"] <= 0:
             break
         picks.append(best)
+    if held is not None:
+        held.unpersist()
     return df.sparkSession.createDataFrame([(-p["i"], n) for n, p in enumerate(picks)], f"{rid} bigint, pick int")
 
 
@@ -63,6 +69,27 @@ def k_means(df: DataFrame, rid: str, dims: list[str], k: int, seed: int = 1, res
     return best.transform(rows).select(rid, "label")
 
 
+def directional_clusters(df: DataFrame, rid: str, dims: list[str], directional: list[str], k: int, scale: dict[str, tuple[float, float]] | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(rid and label; label and the centroid in the columns' own units) of k-means with directions taken as sine and cosine.
+
+    Columns are scaled to 0..1 by their ranges or by ``scale``; sines and cosines by -1..1. A direction's centroid comes from the means of both.
+    """
+    flat = [d for d in dims if d not in directional]
+    parts = [(F.sin if t == "u" else F.cos)(F.radians(d)).alias(f"{d}_{t}") for d in directional for t in "uv"]
+    names = flat + [f"{d}_{t}" for d in directional for t in "uv"]
+    rows = df.select(rid, *[F.col(d).cast("double").alias(d) for d in flat], *parts)
+    limits = {n: (-1.0, 1.0) for n in names if n not in flat} | (scale or {})
+    open_ = [d for d in flat if d not in limits]
+    if open_:
+        r = ranges(rows, open_).first()
+        limits |= {d: (r[f"{d}_min"], r[f"{d}_max"]) for d in open_}
+    scaled = normalize(rows, names, limits)
+    labels = k_means(scaled, rid, names, k, seed)
+    centres = denormalize(group_centroids(scaled.join(labels.select(rid, "label"), rid), "label", names), limits)
+    turned = [F.pmod(F.degrees(F.atan2(F.col(f"{d}_u"), F.col(f"{d}_v"))), F.lit(360.0)).alias(d) for d in directional]
+    return labels, centres.select("label", *flat, *turned)
+
+
 def batch_som(df: DataFrame, rid: str, dims: list[str], width: int, height: int, rounds: int = 5, seed: int = 1) -> DataFrame:
     """rid, neuron: self-organising map trained in batches. Each round sums rows by winning neuron in one aggregation, and the
     neighbourhood mixes those few sums on the driver."""
@@ -172,8 +199,10 @@ def gaussian_copula(df: DataFrame, cols: list[str], n: int, seed: int = 1) -> Da
     """Simulated rows with the columns' ranks' correlation and their own quantiles."""
     from statistics import NormalDist
 
-    total = df.count()
-    ranked = df.select(*[((F.row_number().over(Window.orderBy(c)) - 0.5) / total).alias(c) for c in cols])
+    ranked = df.select(*cols).dropna()
+    for c in cols:
+        ranked = global_ranks(ranked, c, name=f"__{c}", total=f"__n_{c}", unique=True)
+    ranked = ranked.select(*[((F.col(f"__{c}") - 0.5) / F.col(f"__n_{c}")).alias(c) for c in cols])
     probit = ranked.select(*[normal_quantile(F.col(c)).alias(c) for c in cols])
     r = probit.agg(*[F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]).first()
     c = np.array([[1.0 if i == j else r[f"{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))])
@@ -266,18 +295,26 @@ def vortex_field(track: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def welch_heights(df: DataFrame, series: str, order: str, value: str, dt: float, segment: int = 512) -> DataFrame:
-    """series, hs, hs_low: significant height of the whole spectrum and below 0.05 Hz, by averaged periodograms."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        x = p.sort_values(order)[value].to_numpy(float)
-        n = min(segment, len(x))
-        win = np.hanning(n)
-        parts = [x[i : i + n] - x[i : i + n].mean() for i in range(0, len(x) - n + 1, max(1, n // 2))]
-        psd = np.mean([2 * np.abs(np.fft.rfft(s * win)) ** 2 * dt / (win**2).sum() for s in parts], 0)
-        f = np.fft.rfftfreq(n, dt)
-        df_ = f[1] - f[0] if len(f) > 1 else 0
-        return pd.DataFrame({series: [p[series].iloc[0]], "hs": [4 * math.sqrt(psd.sum() * df_)], "hs_low": [4 * math.sqrt(psd[f < 0.05].sum() * df_)]})
-
-    return df.select(series, order, value).groupBy(series).applyInPandas(run, f"{series} {dict(df.dtypes)[series]}, hs double, hs_low double")
-
+    """series, hs, hs_low: significant height of the whole spectrum and below 0.05 Hz, by averaged periodograms.
 
+    Segments overlap by half; each is one small group, so a long series is spread over tasks. A shorter series is one segment.
+    """
+    kind = dict(df.dtypes)[series]
+    rows = global_ranks(df.select(series, F.col(order).alias("__o"), F.col(value).cast("double").alias("__v")), "__o", [series], name="__i", total="__n", unique=True)
+    rows = rows.withColumn("__size", F.least(F.lit(segment), F.col("__n")).cast("int")).withColumn("__half", F.greatest(F.lit(1), F.floor(F.col("__size") / 2)).cast("int"))
+    # segments start at multiples of the half; a row lies in those that start at most a size before it
+    at = F.col("__i") - 1
+    first = F.greatest(F.lit(0), F.ceil((at - F.col("__size") + 1) / F.col("__half")))
+    last = F.least(F.floor(at / F.col("__half")), F.floor((F.col("__n") - F.col("__size")) / F.col("__half")))
+    cut = rows.withColumn("__k", F.explode(F.when(last >= first, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))))
+
+    def power(p: pd.DataFrame) -> pd.DataFrame:
+        x = p.sort_values("__i")["__v"].to_numpy(float)
+        win = np.hanning(len(x))
+        psd = 2 * np.abs(np.fft.rfft((x - x.mean()) * win)) ** 2 * dt / max((win**2).sum(), 1e-300)
+        f = np.fft.rfftfreq(len(x), dt)
+        step = f[1] - f[0] if len(f) > 1 else 0
+        return pd.DataFrame({series: [p[series].iloc[0]], "m": [psd.sum() * step], "low": [psd[f < 0.05].sum() * step]})
+
+    parts = cut.select(series, "__k", "__i", "__v").groupBy(series, "__k").applyInPandas(power, f"{series} {kind}, m double, low double")
+    return parts.groupBy(series).agg((4 * F.sqrt(F.avg("m"))).alias("hs"), (4 * F.sqrt(F.avg("low"))).alias("hs_low"))

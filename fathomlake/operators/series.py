@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import global_ranks
+
 SEASONS = {"DJF": (12, 1, 2), "MAM": (3, 4, 5), "JJA": (6, 7, 8), "SON": (9, 10, 11)}
 
 
@@ -164,12 +166,17 @@ def squared_gradient(df: DataFrame, value: str, lat: str, lon: str, by: list[str
 
 
 def lagged(df: DataFrame, value: str, lags: dict, key: str, order: list[str]) -> DataFrame:
-    """Value shifted back by each key's own number of rows (a travel time); null where the series hasn't begun."""
-    out = F.lit(None).cast("double")
-    w = Window.partitionBy(key).orderBy(*order)
+    """The frame with ``lagged``: each key's value as many of its rows before as ``lags`` says; null for other keys.
+
+    Rows are numbered in two steps and joined by number, so a key's rows aren't sorted in one task. ``order`` starts with a time.
+    """
+    lag = F.lit(None).cast("long")
     for k, n in lags.items():
-        out = F.when(F.col(key) == k, F.lag(value, n).over(w)).otherwise(out)
-    return df.withColumn("lagged", out)
+        lag = F.when(F.col(key) == k, n).otherwise(lag)
+    rows = global_ranks(df.withColumn("__t", F.unix_micros(order[0]).cast("double")), "__t", [key], name="__i", unique=True, then=list(order))
+    before = rows.select(F.col(key).alias("__key"), F.col("__i").alias("__j"), F.col(value).alias("lagged"))
+    met = rows.withColumn("__want", F.col("__i") - lag).join(before, (F.col(key) == F.col("__key")) & (F.col("__want") == F.col("__j")), "left")
+    return met.select(*df.columns, "lagged")
 
 
 def transition_table(df: DataFrame, label: str, order: list[str], labels: list[str], by: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from fathomlake.functions import angles, extremes as ev, geo, waves as wv
@@ -384,13 +383,14 @@ def principal_components(spark, sf):
     return md.principal_components(waves(spark, sf), "id", ["hs", "tp", "dir", "pressure"], 2)[0]
 
 
-@query()
+@query(digits=3)
 def rbf_interpolation(spark, sf):
-    rng = np.random.default_rng(3)
-    nodes = rng.random((60, 2))
-    values = 2 * nodes[:, 0] + 3 * nodes[:, 1]
+    """A target known at 25 chosen sea states, at all of them."""
+    w = fr.normalize(waves(spark, sf).select("id", "hs", "tp"), ["hs", "tp"])
+    chosen = w.join(F.broadcast(md.max_dissimilarity(w, "id", ["hs", "tp"], 25)), "id").orderBy("pick").toPandas()
+    nodes, values = chosen[["hs", "tp"]].to_numpy(), (2 * chosen["hs"] + 3 * chosen["tp"]).to_numpy()
     s = md.best_sigma(nodes, values)
-    return rounded(md.rbf_predict(fr.normalize(waves(spark, sf).select("id", "hs", "tp"), ["hs", "tp"]), "id", ["hs", "tp"], nodes, {"y": md.rbf_weights(nodes, values, s)}, {"y": s}), 3)
+    return md.rbf_predict(w, "id", ["hs", "tp"], nodes, {"y": md.rbf_weights(nodes, values, s)}, {"y": s})
 
 
 @query()
@@ -409,13 +409,6 @@ def weather_type_simulation(spark, sf):
     return md.simulate_chain(t, 8, 100, "view")
 
 
-@query()
-def vortex_field(spark, sf):
-    track = spark.createDataFrame([(0, 10.0, 20.0, 960.0, 1010.0, 80.0, 25.0), (1, 10.5, 20.5, 950.0, 1010.0, 90.0, 22.0)], "step int, clon double, clat double, p0 double, pn double, vmax double, rmw double")
-    grid = spark.range(40).select((9 + F.col("id") * 0.07).alias("lon")).crossJoin(spark.range(40).select((19 + F.col("id") * 0.07).alias("lat")))
-    return md.vortex_field(track, grid)
-
-
 @query()
 def spectral_heights(spark, sf):
     return rounded(md.welch_heights(waves(spark, sf), "event_type", "id", "hs", 1.0), 4)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathomlake.functions import geo, normal
 from fathomlake.functions import waves as wv
 from fathomlake.operators import extremes as ex
+from fathomlake.operators import fields as fl
 from fathomlake.operators import frames as fr
 from fathomlake.operators import joins as jn
 from fathomlake.operators import models as md
@@ -295,7 +296,7 @@ def smoothed_shape(spark, sf):
 
 # --- fields, sets and joins
 @query("WITH d AS (SELECT (epoch(date_trunc('day', ts))/86400)::BIGINT AS step, avg(value) AS m, count(*)::DOUBLE AS n, max(value) AS v FROM events GROUP BY 1), t AS (SELECT step, 10.001::DOUBLE+step%7*0.11 AS lo, 20.001::DOUBLE+step%5*0.13 AS la, 10.0::DOUBLE AS vfx, 5.0::DOUBLE AS vfy, 960-m/10 AS p0, 1010.0::DOUBLE AS pn, 60+v/10 AS vmax, 25.0::DOUBLE AS rmw FROM d), g AS (SELECT 9+a*0.07::DOUBLE AS lon, 19+b*0.07::DOUBLE AS lat FROM (SELECT unnest(range(40)) AS a) CROSS JOIN (SELECT unnest(range(40)) AS b)), j AS (SELECT *, radians(" + arc("lat", "lon", "la", "lo") + ")*6378135.0 AS r, atan2(radians(lat-la), radians(lon-lo)) AS theta, 2*(2*pi()/86184.2)*sin(radians(la)) AS spin, (vmax-sqrt(vfx*vfx+vfy*vfy))/0.9 AS kt FROM g CROSS JOIN t), b AS (SELECT *, kt*0.52 AS vm, least(greatest(1.15*2.718281828459045*kt*0.52*kt*0.52/greatest((pn-p0)*100,100),1.0),2.5) AS b FROM j), q AS (SELECT *, pow(rmw*1852/r, b) AS q FROM b), v AS (SELECT *, sqrt(q*exp(1-q)*vm*vm+r*r*spin*spin/4)-r*spin/2 AS vg, p0+(pn-p0)*exp(-q) AS pr FROM q), s AS (SELECT *, CASE WHEN lag(pr) OVER y IS NULL THEN lead(pr) OVER y-pr WHEN lead(pr) OVER y IS NULL THEN pr-lag(pr) OVER y ELSE (lead(pr) OVER y-lag(pr) OVER y)/2 END AS py, CASE WHEN lag(pr) OVER x IS NULL THEN lead(pr) OVER x-pr WHEN lead(pr) OVER x IS NULL THEN pr-lag(pr) OVER x ELSE (lead(pr) OVER x-lag(pr) OVER x)/2 END AS px FROM v WINDOW y AS (PARTITION BY step, lon ORDER BY lat), x AS (PARTITION BY step, lat ORDER BY lon)) SELECT step, round(lat,3) AS lat, round(lon,3) AS lon, round(sqrt(pow(-vg*0.9*sin(theta)*0.93+abs(vg)/kt*vfx,2)+pow(vg*0.9*cos(theta)*0.93+abs(vg)/kt*vfy,2)),3) AS wind, round(fmod(270-degrees(atan2(py,px)+pi()/2)+720,360),3) AS direction, round(pr*100,3) AS pressure FROM s", 3)
-def moving_vortex(spark, sf):
+def vortex_field(spark, sf):
     d = table(spark, sf, "events").groupBy((F.unix_timestamp(F.date_trunc("day", "ts")) / 86400).cast("long").alias("step")).agg(F.avg("value").alias("m"), F.max("value").alias("v"))
     track = d.select("step", (10.001 + C("step") % 7 * 0.11).alias("lon"), (20.001 + C("step") % 5 * 0.13).alias("lat"), L(10.0).alias("vfx"), L(5.0).alias("vfy"), (960 - C("m") / 10).alias("p0"), L(1010.0).alias("pn"), (60 + C("v") / 10).alias("vmax"), L(25.0).alias("rmw"))
     grid = spark.range(1600).select((9 + F.floor(C("id") / 40) * 0.07).alias("lon"), (19 + C("id") % 40 * 0.07).alias("lat"))
@@ -315,3 +316,83 @@ def nearest_of_many(spark, sf):
 def further_dates(spark, sf):
     o, li = table(spark, sf, "orders").select(C("o_orderdate").alias("d")), table(spark, sf, "lineitem").select(C("l_shipdate").alias("d"))
     return fr.common_dates([o, li], "d", further=True).select(C("start").cast("date"), C("end").cast("date"))
+
+
+# --- models
+@query(f"WITH {WAVES}, m AS (SELECT avg(hs) AS a, avg(tp) AS b, avg(pressure) AS y, var_pop(hs) AS saa, var_pop(tp) AS sbb, covar_pop(hs,tp) AS sab, covar_pop(hs,pressure) AS say, covar_pop(tp,pressure) AS sby FROM w), c AS (SELECT *, (say*sbb-sby*sab)/(saa*sbb-sab*sab) AS b1, (sby*saa-say*sab)/(saa*sbb-sab*sab) AS b2 FROM m) SELECT id, round(hs*0.4,4) AS hs, round(tp*0.4,4) AS tp, round(0.6*(y+b1*(hs-a)+b2*(tp-b)),4) AS pressure FROM w, c", 4)
+def guided_by_regression(spark, sf):
+    return fr.guided_by_regression(waves(spark, sf), "id", ["hs", "tp"], ["pressure"], [0.6])
+
+
+def _annual(spark, sf):
+    """Historical and simulated series: order prices by year, and lines' prices by year and line number."""
+    hist = table(spark, sf, "orders").groupBy(C("o_orderdate").cast("timestamp").alias("t")).agg((F.max("o_totalprice").cast("double") / 10000).alias("v"))
+    sim = table(spark, sf, "lineitem").groupBy((C("l_linenumber") % 4).alias("sim"), C("l_shipdate").cast("timestamp").alias("t")).agg((F.max("l_extendedprice").cast("double") / 3000).alias("v"))
+    return hist, sim
+
+
+@query()
+def extreme_correction(spark, sf):
+    hist, sim = _annual(spark, sf)
+    return ex.ExtremeCorrection("v", "t", "am").fit(hist).transform(sim, "sim", siglevel=1.0)
+
+
+@query()
+def extreme_correction_pot(spark, sf):
+    hist, sim = _annual(spark, sf)
+    return ex.ExtremeCorrection("v", "t", "pot", threshold=35.0).fit(hist).transform(sim, "sim", siglevel=1.0)
+
+
+@query("WITH p AS (SELECT *, row_number() OVER o AS i, greatest(value-50,0) AS x, lag(greatest(value-50,0)) OVER o AS a, lead(greatest(value-50,0)) OVER o AS b FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT * FROM p WHERE x>a AND x>=b) SELECT event_id, round(value,6) AS value FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.user_id=k.user_id AND o.i<>k.i AND abs(o.i-k.i)<=2 AND (o.x>k.x OR (o.x=k.x AND o.i<k.i)))")
+def peak_rows(spark, sf):
+    return ex.peak_rows(table(spark, sf, "events"), "value", ["ts", "event_id"], ["user_id"], 50.0).select("event_id", "value")
+
+
+@query()
+def distribution_fits(spark, sf):
+    m = ex.fixed_block_maxima(table(spark, sf, "events"), "value", ["ts", "event_id"], ["event_type"], 20)
+    return ex.distribution_fits(m, "value", "event_type", "gev", {2: 0.0})
+
+
+@query()
+def poisson_return_levels(spark, sf):
+    p = ex.peak_rows(table(spark, sf, "events"), "value", ["ts", "event_id"], ["user_id"], 100.0)
+    return ex.poisson_return_levels(p, "value", 100.0, 12.0, [10.0, 100.0])
+
+
+@query()
+def directional_clusters(spark, sf):
+    return md.directional_clusters(waves(spark, sf), "id", ["hs", "tp", "dir"], ["dir"], 6)[0].select("id", "label")
+
+
+def _field(spark, sf):
+    """Mean quantity and price by month, on a grid of suppliers and parts."""
+    li = table(spark, sf, "lineitem")
+    return li.groupBy(F.date_trunc("month", "l_shipdate").alias("month"), (C("l_suppkey") % 3).alias("y"), (C("l_partkey") % 4).alias("x")).agg(F.avg(C("l_quantity").cast("double")).alias("q"), F.avg(C("l_extendedprice").cast("double") / 1000).alias("p"))
+
+
+def _components(spark, sf, k):
+    names, rows = fl.stacked(_field(spark, sf), "month", ["y", "x"], ["q", "p"], {"q": [3]}, {"q": 25.0, "q_3": 25.0, "p": "forward"}, {"q": 0.5, "p": 0.5})
+    return fl.fit_components(names, rows, k), rows
+
+
+@query()
+def field_components(spark, sf):
+    model, _ = _components(spark, sf, 5)
+    return fl.eof_table(model, spark, ["y", "x"], {"y": "bigint", "x": "bigint"})
+
+
+@query()
+def field_scores(spark, sf):
+    model, rows = _components(spark, sf, 0.9)
+    return fl.component_scores(model, rows, "month")
+
+
+_CELL = "SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS month, l_suppkey%3 AS y, l_partkey%4 AS x, avg(l_quantity::DOUBLE) AS q, avg(l_extendedprice::DOUBLE/1000) AS p FROM lineitem GROUP BY 1,2,3"
+
+
+@query(f"WITH c AS ({_CELL}), l AS (SELECT *, lag(q,3) OVER (PARTITION BY y, x ORDER BY month) AS q_3 FROM c), m AS (SELECT month, count(*) AS k FROM l GROUP BY 1 HAVING count(*)=12) SELECT month, variable, y, x, round(value*pi(),4) AS value FROM (SELECT month, y, x, 'q' AS variable, q AS value FROM l UNION ALL SELECT month, y, x, 'p', p FROM l UNION ALL SELECT month, y, x, 'q_3', coalesce(q_3,25) FROM l) JOIN m USING (month)", 4)
+def field_round_trip(spark, sf):
+    """All components give every cell back."""
+    model, rows = _components(spark, sf, 36)
+    return fl.from_scores(model, fl.component_scores(model, rows, "month"), "month", ["y", "x"], {"y": "bigint", "x": "bigint"}).withColumn("month", C("month").cast("timestamp")).withColumn("value", C("value") * math.pi)

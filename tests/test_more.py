@@ -136,3 +136,103 @@ def test_small_pieces(spark):
     sectors = {"n": (350.0, 20.0), "s": (20.0, 90.0)}
     assert {r.d: r.e for r in st.superpoint(spread, "st", "d", "e", [], sectors).collect()} == {10.0: 2.0, 200.0: 0.0}
     assert {r.d: r.e for r in st.superpoint(spread, "st", "d", "e", [], sectors, 10.0).collect()} == {10.0: 3.0, 200.0: 0.0}
+
+
+def test_global_ranks(spark):
+    from fathomlake.operators.frames import global_ranks
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 0.5, rng.random(), round(rng.random(), 1)])) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, g string, v double").repartition(4)
+    got = {r.i: r for r in global_ranks(df, "v", ["g"], total="n", ties="t", bins=7).collect()}
+    for i, g, v in rows:
+        mine = [x for _, h, x in rows if h == g]
+        low = [x for x in mine if (x is None and v is not None) or (x is not None and v is not None and x < v)]
+        assert (got[i]["rank"], got[i]["n"], got[i]["t"]) == (len(low) + 1, len(mine), sum(x == v for x in mine))
+    assert sorted(r["rank"] for r in global_ranks(df, "v", unique=True, bins=5).collect()) == list(range(1, 501))
+    assert global_ranks(df.limit(0), "v").collect() == []
+
+
+def test_cramer_von_mises_chances():
+    """Published limits: 0.46136 at 5 % and 0.74346 at 1 %."""
+    assert ex.cramer_von_mises_p(0.46136) == pytest.approx(0.05, abs=2e-4)
+    assert ex.cramer_von_mises_p(0.74346) == pytest.approx(0.01, abs=2e-4)
+    assert ex.cramer_von_mises_p(1e-3) > 0.999
+
+
+def test_fits_recover_parameters():
+    rng = np.random.default_rng(42)
+    u = rng.random(4000)
+    gpd = 0.5 + 1.5 / 0.2 * ((1 - u) ** -0.2 - 1)
+    p = ex.fit_distribution(gpd, "gpd", {0: 0.5})
+    assert p[0] == 0.5 and p[1] == pytest.approx(1.5, abs=0.2) and p[2] == pytest.approx(0.2, abs=0.1)
+    gev = 5 + 2 / 0.1 * ((-np.log(u)) ** -0.1 - 1)
+    assert ex.fit_distribution(gev, "gev") == pytest.approx([5, 2, 0.1], abs=0.2)
+    assert ex.fit_distribution(gev, "gev", {2: 0.1})[:2] == pytest.approx([5, 2], abs=0.2)
+    assert list(ex.fit_distribution(gev, "gev", {0: 1.0, 1: 2.0, 2: 3.0})) == [1.0, 2.0, 3.0]
+
+
+@pytest.mark.parametrize("method", ["am", "pot"])
+def test_extreme_correction(spark, method):
+    """Simulated maxima of another distribution are moved to the historical quantiles; values between them keep their order."""
+    rng = np.random.default_rng(7)
+    q = lambda u, a, b, c: a + b / c * ((-np.log(u)) ** -c - 1)
+    day = lambda y, d: f"{1950 + y}-01-01 00:00:00" if d == 0 else f"{1950 + y}-{1 + d:02d}-10 00:00:00"
+    hist = [(day(y, d), float(v)) for y in range(60) for d, v in enumerate(q(rng.random(11), 5, 2, 0.1))]
+    sim = [(s, day(y, d), float(v)) for s in range(3) for y in range(40) for d, v in enumerate(q(rng.random(11), 3, 1.2, 0.05))]
+    h = spark.createDataFrame(hist, "t string, v double").withColumn("t", F.to_timestamp("t"))
+    m = spark.createDataFrame(sim, "sim int, t string, v double").withColumn("t", F.to_timestamp("t"))
+    c = ex.ExtremeCorrection("v", "t", method, threshold=6.0, distance=0).fit(h)
+    assert c.test(m, "sim")[1] < 0.01
+    rows = c.transform(m, "sim").collect()
+    assert len(rows) == len(sim)
+    by = sorted((r.v, r.v_corr) for r in rows)
+    assert all(a[1] <= b[1] + 1e-9 for a, b in zip(by, by[1:])) and by[0][0] == by[0][1]
+    maxima = {}
+    for r in rows:
+        k = (r.sim, r.t.year)
+        maxima[k] = max(maxima.get(k, -1e9), r.v_corr)
+    target = {}
+    for t, v in hist:
+        target[t[:4]] = max(target.get(t[:4], -1e9), v)
+    assert np.median(list(maxima.values())) == pytest.approx(np.median(list(target.values())), rel=0.15)
+    same = c.transform(m, "sim", siglevel=-1.0).first()
+    assert same.v_corr == same.v
+
+
+def test_field_components(spark):
+    from fathomlake.operators import fields as fl
+
+    rng = np.random.default_rng(1)
+    rows = [(t, i, float(np.sin(t * 0.7) * i + 0.01 * rng.random()), float(np.cos(t * 0.3) + i) if (t, i) != (4, 1) else None) for t in range(40) for i in range(3)]
+    rows += [(t, 9, None, 1.0) for t in range(40)]
+    df = spark.createDataFrame(rows, "t int, i int, a double, b double").repartition(3)
+    names, m = fl.stacked(df, "t", ["i"], ["a", "b"], {"a": [2]}, {"a_2": 0.0, "b": "forward"})
+    assert names == sorted([("a", 0), ("a", 1), ("a", 2), ("a_2", 0), ("a_2", 1), ("a_2", 2), ("b", 0), ("b", 1), ("b", 2), ("b", 9)])
+    got = {r.t: r.x for r in m.collect()}
+    assert len(got) == 40 and got[4][names.index(("b", 1))] == got[3][names.index(("b", 1))] and got[1][names.index(("a_2", 1))] == 0.0
+    x = np.array([got[t] for t in range(40)])
+    std = x.std(0)
+    z = (x - x.mean(0)) / np.where(std > 1e-12, std, 1)
+    values = np.linalg.svd(z, compute_uv=False) ** 2
+    model = fl.fit_components(names, m, 4)
+    assert model.ratio == pytest.approx(values[:4] / values.sum(), abs=1e-9) and model.cumulative[-1] <= 1 + 1e-9
+    assert len(fl.fit_components(names, m, 0.5).ratio) <= 2
+    whole = fl.fit_components(names, m, 10)
+    back = {(r.t, r.variable, r.i): r.value for r in fl.from_scores(whole, fl.component_scores(whole, m, "t"), "t", ["i"], {"i": "int"}).collect()}
+    for t in range(40):
+        for k, n in enumerate(names):
+            assert back[(t, *n)] == pytest.approx(got[t][k], abs=1e-6)
+    with pytest.raises(ValueError):
+        fl.fit_components(names, m.limit(0), 2)
+
+
+def test_directional_clusters(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.normal(2 if i % 2 else 8, 0.1)), float((350 + rng.normal(0, 5)) % 360 if i % 2 else 170 + rng.normal(0, 5))) for i in range(200)]
+    labels, centres = md.directional_clusters(spark.createDataFrame(rows, "id int, h double, d double"), "id", ["h", "d"], ["d"], 2)
+    found = {r.id: r.label for r in labels.collect()}
+    assert len({found[i] for i in range(0, 200, 2)}) == len({found[i] for i in range(1, 200, 2)}) == 1 and found[0] != found[1]
+    c = {r.label: r for r in centres.collect()}
+    assert c[found[1]].h == pytest.approx(2, abs=0.1) and min(abs(c[found[1]].d - 350), 10) < 3
+    assert c[found[0]].d == pytest.approx(170, abs=3)
