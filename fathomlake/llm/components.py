@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ._common import discard, stored
 
 EDGES = "u bigint, v bigint"
+#: Up to so many edges (16 bytes each) are joined in one task of an executor; more of them go through star rounds, with the same result.
+ONE_TASK = 2_000_000
 
 
 def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +47,13 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in local_stars(b.column(0).to_numpy(), b.column(1).to_numpy())], names=["u", "v"])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        u, v = local_stars(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def star_ties(keyed: DataFrame) -> DataFrame:
     """u, v: nodes tied to the least node that has one of their keys. ``keyed`` has key and node (bigint, not null).
 
@@ -101,11 +110,13 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """node, component (least node that can be reached) for every node of ``edges`` (u, v: bigint, not null) with a smaller one."""
     now = stored(edges.select("u", "v").filter("u != v").mapInArrow(_contracted, EDGES).distinct(), "edges")
     state = _state(now)
-    while state[0]:
+    if state[0] <= one_task:
+        return stored(now.coalesce(1).mapInArrow(_joined, EDGES), "edges").toDF("node", "component")
+    while True:
         large = stored(_large_star(now), "edges")
         new = stored(_small_star(large), "edges")
         last, state = state, _state(new)

@@ -102,6 +102,31 @@ def test_ngram_join(spark, width, num, tile):
         assert ngram_join(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("one_task", [0, 1 << 20], ids=["rounds", "one task"])
+def test_components(spark, one_task):
+    """Chains, stars, loops and repeats against a walk."""
+    from fathomlake.llm.components import connected_components
+
+    rng = random.Random(12)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(400, 480)] + [(7, 7), (7, 8), (8, 7), (8, 7)] + [(rng.randint(-50, 90), rng.randint(-50, 90)) for _ in range(60)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def least(x):
+        seen, todo = {x}, [x]
+        while todo:
+            for y in near[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        return min(seen)
+
+    got = connected_components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(4), one_task=one_task).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((x, least(x)) for x in near if least(x) != x)
+    assert connected_components(spark.createDataFrame([], "u bigint, v bigint"), one_task=one_task).collect() == []
+
+
 def test_linked_sets_share_a_key_and_pass_the_tree():
     import numpy as np
 
