@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import documents, table_path, text_of
-from .tokens import piece_tokenizer, slices, tokenizer_path, whole
+from .tokens import piece_tokenizer, slices, tokenizer_path
 
 LENGTH = 4096
 END_ID = 2
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, en
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = piece_tokenizer(name)
         for batch in batches:
-            texts = whole(batch.column(1))
+            texts = batch.column(1)
             for a, b in slices(texts):  # the ids of a few texts at a time, whatever a batch holds
                 flat, sizes = tok.encode(texts.slice(a, b - a))
                 keys = hilbert_key(points_of(flat, sizes))

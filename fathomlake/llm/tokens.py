@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct pieces that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 700_000
 #: A control character that is one token of its own; it marks the ends of pieces.
 MARK = "\x01"
 #: Words of ASCII and Latin letters that have one lower case and no composition of their own.
@@ -49,7 +49,7 @@ def whole(texts: pa.Array) -> pa.Array:
 
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Bounds of neighbouring texts of about ``size`` bytes together, one text at least."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
