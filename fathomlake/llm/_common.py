@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -88,8 +89,9 @@ def discard(table: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of frames that nobody holds any more: it does so when its driver collects garbage."""
+    """Let Spark delete shuffle files of frames that nobody holds any more: it does so when its driver collects garbage, which first has to hear of them."""
     gc.collect()
+    time.sleep(2)  # Python tells the driver's JVM of its dead frames from a thread that looks for them every second
     spark.sparkContext._jvm.System.gc()
 
 
