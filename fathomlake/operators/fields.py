@@ -135,3 +135,27 @@ def eof_table(model: FieldComponents, spark, coords: list[str], kinds: dict[str,
     """pc, variable, coordinates, weight, share of the variance."""
     rows = [(j + 1, n[0], *n[1:], float(model.components[j, i]), float(model.ratio[j])) for j in range(len(model.components)) for i, n in enumerate(model.names)]
     return spark.createDataFrame(rows, "pc int, variable string, " + ", ".join(f"{c} {kinds[c]}" for c in coords) + ", weight double, share double")
+
+
+def sample_field(spark) -> DataFrame:
+    """coord3, i, j, X, Y: three standing waves on a grid of 20 by 20 points over 49 rows, and minus their sine."""
+    x, y, t = F.radians(-100 + F.col("i") * (200 / 19)), F.radians(-100 + F.col("j") * (200 / 19)), F.col("coord3")
+    cells = spark.range(400 * 49).select((F.col("id") % 49 + 1).cast("int").alias("coord3"), F.floor(F.col("id") / 980).cast("int").alias("i"), (F.floor(F.col("id") / 49) % 20).cast("int").alias("j"))
+    waves = sum((F.sin(k * x) * F.cos(k * y) * F.sin(k * t) for k in (1, 2, 3)), F.lit(0.0))
+    return cells.select("coord3", "i", "j", waves.alias("X"), (-F.sin(waves)).alias("Y"))
+
+
+def label_probabilities(winners: DataFrame, cell: list[str], label: str) -> DataFrame:
+    """cell, label, n, probability: how often the rows that a map's cell has won carry each label."""
+    n = winners.groupBy(*cell, label).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy(*cell)))
+
+
+def distance_map(weights: DataFrame, i: str, j: str, dims: list[str]) -> DataFrame:
+    """i, j, distance: each cell's summed distance to its up to eight neighbours, over the largest of these. ``weights`` has one row for each cell."""
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
+    mine = weights.select(i, j, *dims, around.alias("__o")).select(i, j, *dims, (F.col(i) + F.col("__o.a")).alias("__i"), (F.col(j) + F.col("__o.b")).alias("__j"))
+    other = weights.select(F.col(i).alias("__i"), F.col(j).alias("__j"), *[F.col(d).alias(f"__{d}") for d in dims])
+    gap = F.sqrt(sum(((F.col(d) - F.col(f"__{d}")) * (F.col(d) - F.col(f"__{d}")) for d in dims), F.lit(0.0)))
+    total = mine.join(other, ["__i", "__j"]).groupBy(i, j).agg(F.sum(gap).alias("__d"))
+    return total.crossJoin(F.broadcast(total.agg(F.max("__d").alias("__m")))).select(i, j, F.try_divide("__d", "__m").alias("distance"))  # one row

@@ -318,3 +318,62 @@ def welch_heights(df: DataFrame, series: str, order: str, value: str, dt: float,
 
     parts = cut.select(series, "__k", "__i", "__v").groupBy(series, "__k").applyInPandas(power, f"{series} {kind}, m double, low double")
     return parts.groupBy(series).agg((4 * F.sqrt(F.avg("m"))).alias("hs"), (4 * F.sqrt(F.avg("low"))).alias("hs_low"))
+
+
+#: Most points of a radial model: their distances are a table of its square.
+MOST_NODES = 4000
+
+
+class RadialModel:
+    """Radial interpolation of targets known at a bounded set of points; directions enter, and come out, as sine and cosine."""
+
+    def __init__(self, dims: list[str], targets: list[str], directional: list[str] = (), directional_targets: list[str] = ()):
+        self.dims, self.targets, self.directional, self.directional_targets = list(dims), list(targets), list(directional), list(directional_targets)
+        self.flat = [d for d in self.dims if d not in self.directional]
+        self.names = self.flat + [f"{d}_{t}" for d in self.directional for t in "uv"]
+        self.outs = [t for t in self.targets if t not in self.directional_targets] + [f"{d}_{t}" for d in self.directional_targets for t in "uv"]
+
+    def _inputs(self, df: DataFrame, *keep: str) -> DataFrame:
+        parts = [(F.sin if t == "u" else F.cos)(F.radians(d)).alias(f"{d}_{t}") for d in self.directional for t in "uv"]
+        return df.select(*keep, *[F.col(d).cast("double").alias(d) for d in self.flat], *parts)
+
+    def fit(self, subset: DataFrame) -> RadialModel:
+        """``subset`` has the dimensions and the targets; rows with a null are left out, and more than MOST_NODES raise ValueError."""
+        turned = [(F.sin if t == "u" else F.cos)(F.radians(d)).alias(f"__{d}_{t}") for d in self.directional_targets for t in "uv"]
+        plain = [F.col(t).cast("double").alias(f"__{t}") for t in self.targets if t not in self.directional_targets]
+        rows = self._inputs(subset.select("*", *plain, *turned), *[f"__{o}" for o in self.outs]).dropna().limit(MOST_NODES + 1).toPandas()
+        if len(rows) > MOST_NODES:
+            raise ValueError(f"more than {MOST_NODES} points: choose some by maximum dissimilarity")
+        if len(rows) < 2:
+            raise ValueError("a radial model needs points")
+        limits = {n: (-1.0, 1.0) if n not in self.flat else (float(rows[n].min()), float(rows[n].max())) for n in self.names}
+        self.limits = {n: (a, b if b > a else a + 1.0) for n, (a, b) in limits.items()}
+        self.nodes = np.stack([(rows[n].to_numpy() - a) / (b - a) for n, (a, b) in self.limits.items()], 1)
+        self.sigma, self.weights = {}, {}
+        for o in self.outs:
+            y = rows[f"__{o}"].to_numpy(float)
+            self.sigma[o] = best_sigma(self.nodes, y)
+            self.weights[o] = rbf_weights(self.nodes, y, self.sigma[o])
+        return self
+
+    def predict(self, df: DataFrame, rid: str) -> DataFrame:
+        """rid and the targets at each row."""
+        scaled = normalize(self._inputs(df, rid), self.names, self.limits)
+        found = rbf_predict(scaled, rid, self.names, self.nodes, self.weights, self.sigma)
+        turned = [F.pmod(F.degrees(F.atan2(F.col(f"{d}_u"), F.col(f"{d}_v"))), F.lit(360.0)).alias(d) for d in self.directional_targets]
+        return found.select(rid, *[t for t in self.outs if t in self.targets], *turned)
+
+    def k_fold(self, df: DataFrame, rid: str, folds: int = 5) -> DataFrame:
+        """fold, target, n, rmse, bias: each fold (by a hash of rid) predicted from the others."""
+        rows = df.withColumn("__fold", F.pmod(F.xxhash64(rid), F.lit(folds)))
+        out = None
+        for k in range(folds):
+            model = RadialModel(self.dims, self.targets, self.directional, self.directional_targets).fit(rows.filter(F.col("__fold") != k))
+            held = rows.filter(F.col("__fold") == k)
+            met = model.predict(held, rid).select(rid, *[F.col(t).alias(f"__p_{t}") for t in self.targets]).join(held, rid)
+            for t in self.targets:
+                gap = F.col(f"__p_{t}") - F.col(t)
+                gap = F.pmod(gap + 180, F.lit(360.0)) - 180 if t in self.directional_targets else gap
+                one = met.agg(F.lit(k).alias("fold"), F.lit(t).alias("target"), F.count(gap).alias("n"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(gap).alias("bias"))
+                out = one if out is None else out.union(one)
+        return out

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from fathomlake.functions import geo, normal
+from fathomlake.functions import nonstationary as ns
 from fathomlake.functions import waves as wv
 from fathomlake.operators import extremes as ex
 from fathomlake.operators import fields as fl
@@ -396,3 +397,52 @@ def field_round_trip(spark, sf):
     """All components give every cell back."""
     model, rows = _components(spark, sf, 36)
     return fl.from_scores(model, fl.component_scores(model, rows, "month"), "month", ["y", "x"], {"y": "bigint", "x": "bigint"}).withColumn("month", C("month").cast("timestamp")).withColumn("value", C("value") * math.pi)
+
+
+# --- parameters that change with time
+_PARAMS = lambda: ({"base": 40.0, "harmonics": [5.0, -2.0], "trend": 0.5, "covariates": [(C("tp"), 0.1)]}, {"base": 3.0, "harmonics": [0.2, 0.1]}, {"base": 0.1, "harmonics": [0.02, 0.0]})
+_NS = f"WITH {WAVES}, t AS (SELECT id, hs, tp, dayofyear(ts)/366.0::DOUBLE AS t FROM w), p AS (SELECT id, hs, 40+0.5*t+5*cos(2*pi()*t)-2*sin(2*pi()*t)+0.1*tp AS m, exp(3+0.2*cos(2*pi()*t)+0.1*sin(2*pi()*t)) AS s, 0.1+0.02*cos(2*pi()*t) AS x FROM t), e AS (SELECT *, CASE WHEN 1+x*(hs-m)/s>0 THEN pow(1+x*(hs-m)/s, -1/x) END AS e FROM p)"
+
+
+def _moving(spark, sf):
+    return waves(spark, sf).withColumn("p", ns.gev_parameters(se.year_fraction(C("ts")), *_PARAMS()))
+
+
+@query(f"{_NS} SELECT id, round(m,4) AS loc, round(s,4) AS scale, round(x,4) AS xi, round(coalesce(exp(-e),0),4) AS cdf, round(m+s/x*(pow(-ln((id%99+1)/100.0::DOUBLE),-x)-1),4) AS q, round((x+1)*ln(e)-e-ln(s),4) AS log_likelihood, round(-ln(e),4) AS z FROM e", 4)
+def nonstationary_gev(spark, sf):
+    w, p = _moving(spark, sf), C("p")
+    return w.select("id", p["loc"].alias("loc"), p["scale"].alias("scale"), p["xi"].alias("xi"), ns.gev_cdf_at(C("hs"), p).alias("cdf"), ns.gev_quantile_at((C("id") % 99 + 1) / 100, p).alias("q"), ns.gev_log_likelihood_at(C("hs"), p).alias("log_likelihood"), ns.standardized_at(C("hs"), p).alias("z"))
+
+
+@query(f"{_NS}, v AS (SELECT unnest([150.0, 200.0, 250.0]) AS v), r AS (SELECT v, avg(pow(1+x*(v-m)/s, -1/x)) AS r FROM p, v GROUP BY 1) SELECT v::DOUBLE AS v, round(v,2)::DOUBLE AS back FROM r", 2)
+def aggregate_quantiles(spark, sf):
+    """A value's chance over the period, and the value that has this chance."""
+    w = _moving(spark, sf)
+    rate = w.agg(*[F.avg(ns._exceedance(L(v), C("p"))).alias(str(int(v))) for v in (150.0, 200.0, 250.0)]).first()
+    return spark.createDataFrame([(v, ns.aggregate_quantile(w, C("p"), math.exp(-rate[str(int(v))]))) for v in (150.0, 200.0, 250.0)], "v double, back double")
+
+
+@query(digits=3)
+def radial_model(spark, sf):
+    w = waves(spark, sf).withColumn("y", 2 * C("hs") + 3 * C("tp")).withColumn("back", F.pmod(C("dir") + 180, L(360.0)))
+    chosen = md.max_dissimilarity(fr.normalize(w.select("id", "hs", "tp"), ["hs", "tp"]), "id", ["hs", "tp"], 30)
+    model = md.RadialModel(["hs", "tp", "dir"], ["y", "back"], ["dir"], ["back"]).fit(w.join(F.broadcast(chosen.select("id")), "id"))
+    return model.predict(w, "id")
+
+
+@query("SELECT t::INT AS coord3, a::INT AS i, b::INT AS j, round(sin(x)*cos(y)*sin(t)+sin(2*x)*cos(2*y)*sin(2*t)+sin(3*x)*cos(3*y)*sin(3*t),6)+0 AS X, round(-sin(sin(x)*cos(y)*sin(t)+sin(2*x)*cos(2*y)*sin(2*t)+sin(3*x)*cos(3*y)*sin(3*t)),6)+0 AS Y FROM (SELECT a, b, t, radians(-100+a*200/19.0::DOUBLE) AS x, radians(-100+b*200/19.0::DOUBLE) AS y FROM (SELECT unnest(range(20)) AS a) CROSS JOIN (SELECT unnest(range(20)) AS b) CROSS JOIN (SELECT unnest(range(1,50)) AS t))")
+def sample_field(spark, sf):
+    return fl.sample_field(spark)
+
+
+@query(f"WITH {WAVES}, k AS (SELECT floor(hs/60)::INT AS i, floor(tp/6)::INT AS j, event_type FROM w WHERE hs<240) SELECT i, j, event_type, count(*) AS n, round(count(*)::DOUBLE/(sum(count(*)) OVER (PARTITION BY i, j))::DOUBLE,6) AS probability FROM k GROUP BY 1,2,3")
+def label_probabilities(spark, sf):
+    """How the winners of each cell of a map are labelled."""
+    w = waves(spark, sf).filter("hs < 240").select(F.floor(C("hs") / 60).cast("int").alias("i"), F.floor(C("tp") / 6).cast("int").alias("j"), "event_type")
+    return fl.label_probabilities(w, ["i", "j"], "event_type")
+
+
+@query("WITH m AS (SELECT (c_custkey%4)::INT AS i, (c_nationkey%5)::INT AS j, avg(c_acctbal::DOUBLE) AS a FROM customer GROUP BY 1,2), d AS (SELECT x.i, x.j, sum(abs(x.a-y.a)) AS d FROM m x JOIN m y ON abs(x.i-y.i)<=1 AND abs(x.j-y.j)<=1 AND (x.i<>y.i OR x.j<>y.j) GROUP BY 1,2) SELECT i, j, round(d/max(d) OVER (),6) AS distance FROM d")
+def distance_map(spark, sf):
+    m = table(spark, sf, "customer").groupBy((C("c_custkey") % 4).cast("int").alias("i"), (C("c_nationkey") % 5).cast("int").alias("j")).agg(F.avg(C("c_acctbal").cast("double")).alias("a"))
+    return fl.distance_map(m, "i", "j", ["a"])
