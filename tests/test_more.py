@@ -236,3 +236,33 @@ def test_directional_clusters(spark):
     c = {r.label: r for r in centres.collect()}
     assert c[found[1]].h == pytest.approx(2, abs=0.1) and min(abs(c[found[1]].d - 350), 10) < 3
     assert c[found[0]].d == pytest.approx(170, abs=3)
+
+
+def test_radial_model_with_directions(spark):
+    """A quarter of the sea states gives 2 Hs + 3 Tp and the opposite direction at the others."""
+    rng = np.random.default_rng(11)
+    rows = [(i, float(a * 7), float(b * 20), float(c * 360)) for i, (a, b, c) in enumerate(rng.random((240, 3)))]
+    df = spark.createDataFrame(rows, "id int, hs double, tp double, dir double").withColumn("y", 2 * F.col("hs") + 3 * F.col("tp")).withColumn("back", F.pmod(-F.col("dir"), F.lit(360.0)))
+    model = md.RadialModel(["hs", "tp", "dir"], ["y", "back"], ["dir"], ["back"]).fit(df.filter("id % 2 = 0"))
+    got = model.predict(df, "id").join(df.select("id", F.col("y").alias("wy"), F.col("back").alias("wback")), "id").collect()
+    assert len(got) == 240
+    assert np.sqrt(np.mean([(r.y - r.wy) ** 2 for r in got])) < 3
+    assert np.median([abs((r.back - r.wback + 180) % 360 - 180) for r in got]) < 10
+    with pytest.raises(ValueError):
+        model.fit(df.limit(1))
+
+
+def test_nonstationary_gev_is_the_stationary_one_at_rest(spark):
+    from fathomlake.functions import extremes as ev
+    from fathomlake.functions import nonstationary as ns
+
+    df = spark.createDataFrame([(x, 0.1 * i) for i, x in enumerate([-50.0, 10.0, 45.0, 300.0])], "x double, t double")
+    p = ns.gev_parameters(F.col("t"), {"base": 40.0}, {"base": math.log(30.0)}, {"base": 0.1})
+    row = df.select(ns.gev_cdf_at(F.col("x"), p).alias("a"), ev.gev_cdf(F.col("x"), 40, 30, 0.1).alias("b"), ns.gev_quantile_at(F.lit(0.9), p).alias("q"), ev.gev_quantile(F.lit(0.9), 40, 30, 0.1).alias("r"), ns.gev_log_likelihood_at(F.col("x"), p).alias("l"), ev.gev_log_likelihood(F.col("x"), 40, 30, 0.1).alias("m")).collect()
+    for r in row:
+        assert r.a == pytest.approx(r.b, abs=1e-12) and r.q == pytest.approx(r.r) and (r.l == pytest.approx(r.m) if r.m is not None else r.l is None)
+    assert ns.aggregate_quantile(df, p, 0.9) == pytest.approx(40 + 300 * ((-math.log(0.9)) ** -0.1 - 1), rel=1e-4)
+    with pytest.raises(ValueError):
+        ns.aggregate_quantile(df, p, 1.0)
+    flat = df.select(ns.gev_cdf_at(F.col("x"), ns.gev_parameters(F.col("t"), {"base": 40.0}, {"base": math.log(30.0)}, {"base": 0.0})).alias("a"), ev.gev_cdf(F.col("x"), 40, 30, 0.0).alias("b")).collect()
+    assert all(r.a == pytest.approx(r.b, abs=1e-12) for r in flat)
