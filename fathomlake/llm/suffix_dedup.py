@@ -9,8 +9,9 @@ A byte goes when a WIDTH-byte string that covers it also starts in a document wi
 3. Where an anchor has several contexts, one document for each context sends its bytes. They are sharded by anchor.
    A WIDTH-byte string that holds the anchor goes on for HALF bytes before it or behind it, so a context whose bytes
    there no other document's context shares is done. The others of a shard get a suffix array by Larsson-Sadakane
-   refinement and common prefixes by Kasai's walk; an anchor with more contexts than a shard holds has several
-   suffix arrays, merged by binary search.
+   refinement and common prefixes by Kasai's walk. Shards end where an anchor's contexts end, as no string has to be
+   sought beyond its anchor; only an anchor with more contexts than a shard holds has several suffix arrays, merged
+   by binary search.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, release, stored, text_of
+from ._common import documents, release, stored, text_of, tidy
 
 U = np.uint64
 WIDTH, GRAM = 50, 20
@@ -36,9 +37,9 @@ CHUNK_BYTES = 2 << 20
 #: Anchors that a task settles among themselves before it sends them on.
 ANCHORS_HELD = 2_000_000
 #: Bytes of contexts in one suffix array.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Bytes of contexts that are looked through at once for those that share a half.
-LOOK_BYTES = 16 << 20
+LOOK_BYTES = 4 << 20
 FACTORS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -100,7 +101,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, U)
     for k in range(7):
         key = (key << U(9)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.append(True, key[order][1:] != key[order][:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -112,11 +113,11 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             break
         places = order[slots]
         ahead = np.where(places + h < n, rank[np.minimum(places + h, n - 1)], -1)
-        own = rank[places]
-        by = np.lexsort((ahead, own))
+        both = rank[places] * (n + 1) + ahead + 1
+        by = np.argsort(both)
         order[slots] = places[by]
-        own, ahead = own[by], ahead[by]
-        new[slots] = np.append(True, (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1]))
+        both = both[by]
+        new[slots] = np.append(True, both[1:] != both[:-1])
         rank[order[slots]] = np.maximum.accumulate(np.where(new[slots], slots, 0))
         h *= 2
     return order, rank
@@ -218,6 +219,21 @@ def removable(contexts: list[bytes], docs: np.ndarray, shard_bytes: int = SHARD_
     return out
 
 
+def removable_by_anchor(contexts: list[bytes], docs: np.ndarray, anchors: np.ndarray, shard_bytes: int = SHARD_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``removable`` (contexts, places) for neighbouring whole anchors at a time, ``shard_bytes`` or a little more; contexts are sorted by anchor."""
+    if not contexts:
+        return
+    ends = np.append(np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, len(contexts))
+    upto = np.cumsum(np.fromiter(map(len, contexts), np.int64, len(contexts)))[ends - 1]
+    a = size = 0
+    while a < len(contexts):
+        k = min(int(np.searchsorted(upto, size + shard_bytes)), len(ends) - 1)
+        b, size = int(ends[k]), int(upto[k])
+        found = np.array(removable(contexts[a:b], docs[a:b], shard_bytes), np.int64).reshape(-1, 2)
+        yield found[:, 0] + a, found[:, 1]
+        a = b
+
+
 def share_half(contexts: list[bytes], leads: np.ndarray, anchors: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """True where another document's context has the same anchor and the same HALF bytes before it, or behind it.
 
@@ -284,9 +300,15 @@ def anchor_marks(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         held, count = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            doc, place, anchor, context = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((place, doc, context, anchor))
-            doc, place, anchor, context = doc[order], place[order], anchor[order], context[order]
+            parts = [list(x) for x in zip(*held)]
+            held.clear()
+            for k in range(4):  # one column at a time, so that no two copies of all are held
+                parts[k] = np.concatenate(parts[k])
+            order = np.lexsort((parts[1], parts[0], parts[3], parts[2]))
+            for k in range(4):
+                parts[k] = parts[k][order]
+            doc, place, anchor, context = parts
+            del parts, order
             first = np.append(True, (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1]))
             mine = doc == doc[np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))]
             late = (doc[~mine], place[~mine])
@@ -304,11 +326,11 @@ def anchor_marks(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         for batch in batches:
             for ids, data, bounds in _chunks(batch):
                 doc, place, anchor, context = anchors_of(data, bounds)
-                held.append((np.asarray(ids, np.int64)[doc], place, anchor, context))
+                held.append((np.asarray(ids, np.int64)[doc], place.astype(np.int32), anchor, context))
                 count += len(doc)
                 if count >= ANCHORS_HELD:
                     yield from out()
-                    held, count = [], 0
+                    count = 0
         if count:
             yield from out()
 
@@ -350,9 +372,9 @@ def anchor_marks(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         if parts:
             yield from out()
 
-    sent = texts.mapInArrow(send, "bucket int, anchor binary, context binary, doc binary, place binary")
+    sent = texts.mapInArrow(tidy(send), "bucket int, anchor binary, context binary, doc binary, place binary")
     dealt = sent.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.xxhash64("doc")).otherwise(0)).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(settle, MARKS)
+    return dealt.mapInArrow(tidy(settle), MARKS)
 
 
 def suffix_dedup(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES, look_bytes: int = LOOK_BYTES, with_text: bool = True) -> DataFrame:
@@ -388,9 +410,9 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHA
             if not len(kept):
                 return
             docs, at = docs[kept], at[kept]
-            found = removable([held[i][4] for i in kept.tolist()], docs, shard_bytes)
-            if found:
-                which, place = np.array(found, np.int64).T
+            found = list(removable_by_anchor([held[i][4] for i in kept.tolist()], docs, anchors[kept], shard_bytes))
+            which, place = (np.concatenate(x) for x in zip(*found))
+            if len(which):
                 rows = [(d, "starts", p) for d, p in _per_doc(docs[which], at[which] + place)]
                 yield _rows(["doc_id", "kind", "places"], [pa.int64(), pa.string(), pa.binary()], zip(*rows))
 
@@ -405,8 +427,8 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHA
         if held:
             yield from out()
 
-    contexts = texts.hint("merge").join(open_, "doc_id").mapInArrow(cut, "anchor bigint, doc_id bigint, at int, lead int, bytes binary")
-    starts = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "doc_id bigint, kind string, places binary")
+    contexts = texts.hint("merge").join(open_, "doc_id").mapInArrow(tidy(cut), "anchor bigint, doc_id bigint, at int, lead int, bytes binary")
+    starts = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(compare), "doc_id bigint, kind string, places binary")
     found = same.union(starts).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "places")).alias("found"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +449,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHA
                 yield _rows(names, types, zip(*rows))
 
     joined = texts.hint("merge").join(found, "doc_id", "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return joined.mapInArrow(tidy(digest), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

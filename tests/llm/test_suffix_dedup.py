@@ -73,3 +73,40 @@ def test_shards_are_merged():
 
 def test_empty(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id bigint, text string, kept string")).collect() == []
+
+
+def _many_anchors():
+    rng = np.random.default_rng(3)
+    contexts, docs, anchors = [], [], []
+    for a in range(5000):
+        word, side = rng.bytes(20), [rng.bytes(30) for _ in range(3)]
+        for k in range(8):
+            contexts.append(side[k % 3] + word + side[k % 2])
+            docs.append(a * 8 + k)
+            anchors.append(a)
+    return contexts, np.array(docs), np.array(anchors)
+
+
+def test_unrelated_anchors_are_not_searched(monkeypatch):
+    from fathomlake.llm import suffix_dedup as module
+
+    contexts, docs, anchors = _many_anchors()
+    searched = []
+    monkeypatch.setattr(module, "find_strings", lambda rows, own: searched.append(len(own)) or np.full(len(own), -1))
+    parts = list(module.removable_by_anchor(contexts[:4000], docs[:4000], anchors[:4000], 8 * 80 * 50))
+    assert len(parts) == 10 and not searched
+    found = {(c, p) for which, place in parts for c, p in zip(which.tolist(), place.tolist())}
+    assert found == set(removable(contexts[:4000], docs[:4000], 1 << 30))
+
+
+def test_comparison_holds_little_memory():
+    import tracemalloc
+
+    from fathomlake.llm import suffix_dedup as module
+
+    contexts, docs, anchors = _many_anchors()
+    tracemalloc.start()
+    found = sum(len(which) for which, _ in module.removable_by_anchor(contexts, docs, anchors))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 200e6
