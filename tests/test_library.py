@@ -266,3 +266,14 @@ def test_triangular_hydrograph_takes_every_event(spark):
     got = {(r.event_id, r.hour): r.level for r in rows}
     assert len(rows) == len(got) and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_no_depth_has_no_wavelength(spark):
+    r = one(spark, waves.wavelength(F.lit(10.0), F.lit(0.0)).alias("l"), waves.celerity(waves.wavelength(F.lit(10.0), F.lit(0.0)), F.lit(0.0)).alias("c"), waves.wavelength(F.lit(0.0), F.lit(5.0)).alias("still"))
+    assert math.isnan(r.l) and math.isnan(r.c) and r.still == 0
+
+
+def test_thin_plate_at_zero(spark):
+    d = spark.createDataFrame([(0.0,), (None,), (1.0,)], "r double").select(waves.radial_kernel(F.col("r"), 0.5, "thin_plate").alias("v"))
+    zero, null, one_ = [r.v for r in d.collect()]
+    assert math.isnan(zero) and null is None and one_ == pytest.approx(math.log(2))
