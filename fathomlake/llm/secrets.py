@@ -10,7 +10,7 @@ its chance under a model of words, and q the tests' p-values under randomness, E
 a mean of at most 1 over ordinary text for each encoding (the q are at most 1), so by Markov's inequality 1 / E, times the
 number of encodings as the one was chosen by the text, is a p-value under the word model, whatever the tests' dependence.
 The word model has fixed chances of small letters, capitals, digits and signs after each other, as in words, names
-and paths, and pairs of letters counted in the short words of the head of every document. The p-values are sorted in
+and paths, and pairs of letters counted in the short words of every document. The p-values are sorted in
 bands of length, and Benjamini and Hochberg's rule in each band bounds the share of false discoveries, whatever the
 lengths that the corpus holds.
 """
@@ -59,8 +59,6 @@ CLASS_CHANCES = {
 SIGN_CHANCES = (0.3, 0.3, 0.3, 0.1)
 #: Weights of the counted pairs, the counted letters and equal chances in the chance of a letter after another.
 PAIR_WEIGHTS = (0.7, 0.2, 0.1)
-#: Code points at the head of each document whose short words are counted.
-HEAD = 400
 #: A test statistic beyond this number of standard deviations is against randomness (0.1 % for three tests).
 MOST_Z = 3.4
 FALSE_DISCOVERIES = 0.001
@@ -104,10 +102,11 @@ def free_spans(seen: Column, rules: Column) -> Column:
 
 
 def letter_pairs(docs: DataFrame) -> dict[str, int]:
-    """Counts of neighbouring letters (small; a space before the first) in the short words at the head of each document: at most 702."""
-    words = F.regexp_replace(F.regexp_replace(F.substring(text_of(docs), 1, HEAD), CANDIDATE, " "), "[^A-Za-z]+", " ")
-    pairs = docs.select(F.explode(F.regexp_extract_all(F.lower(F.concat(F.lit(" "), words)), F.lit("(?=([a-z ][a-z]))"), F.lit(1))).alias("pair"))
-    return {r["pair"]: r["count"] for r in pairs.groupBy("pair").count().collect()}
+    """Counts of neighbouring letters (small; a space before the first) in the short words of the whole documents: at most 702. Words are counted first, then each word's pairs."""
+    letters = F.regexp_replace(F.regexp_replace(text_of(docs), CANDIDATE, " "), "[^A-Za-z]+", " ")
+    words = docs.select(F.explode(F.split(F.lower(letters), " ")).alias("word")).filter("word != ''").groupBy("word").count()
+    pairs = words.select(F.explode(F.regexp_extract_all(F.concat(F.lit(" "), "word"), F.lit("(?=([a-z ][a-z]))"), F.lit(1))).alias("pair"), "count")
+    return {r["pair"]: r["count"] for r in pairs.groupBy("pair").agg(F.sum("count").alias("count")).collect()}
 
 
 def _table(values: list) -> Column:

@@ -132,3 +132,10 @@ def test_free_spans(spark):
     for r in got:
         _, seen, rules = cases[r.i]
         assert [tuple(x) for x in r.free] == [(a, b) for a, b in seen if not any(x < b and a < y for x, y in rules)]
+
+
+def test_pairs_are_counted_in_whole_texts(spark):
+    from fathomlake.llm.secrets import letter_pairs
+
+    df = spark.createDataFrame([(1, "The " * 150 + "zebra zebra"), (2, None), (3, "Ab" * 30)], "doc_id bigint, text string")
+    assert letter_pairs(df) == {" t": 150, "th": 150, "he": 150, " z": 2, "ze": 2, "eb": 2, "br": 2, "ra": 2}
