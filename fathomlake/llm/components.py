@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, stored
+from ._common import discard, stored, tidy
 
 EDGES = "u bigint, v bigint"
 #: Up to so many edges (16 bytes each) are joined in one task of an executor; more of them go through star rounds, with the same result.
@@ -84,9 +84,9 @@ def star_ties(keyed: DataFrame) -> DataFrame:
             now, least = k[-1], to[-1]
             yield pa.RecordBatch.from_arrays([pa.array(n[to != n]), pa.array(to[to != n])], names=["u", "v"])
 
-    dealt = stored(keyed.select("key", "node").sortWithinPartitions("key", "node").mapInArrow(first, f"{EDGES}, key bigint"), "meets")
+    dealt = stored(keyed.select("key", "node").sortWithinPartitions("key", "node").mapInArrow(tidy(first), f"{EDGES}, key bigint"), "meets")
     heads = dealt.filter("key is not null").select("key", "u").repartition("key").sortWithinPartitions("key", "u")
-    return dealt.filter("key is null").select("u", "v").union(heads.mapInArrow(second, EDGES))
+    return dealt.filter("key is null").select("u", "v").union(heads.mapInArrow(tidy(second), EDGES))
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -112,10 +112,10 @@ def _state(edges: DataFrame) -> tuple:
 
 def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """node, component (least node that can be reached) for every node of ``edges`` (u, v: bigint, not null) with a smaller one."""
-    now = stored(edges.select("u", "v").filter("u != v").mapInArrow(_contracted, EDGES).distinct(), "edges")
+    now = stored(edges.select("u", "v").filter("u != v").mapInArrow(tidy(_contracted), EDGES).distinct(), "edges")
     state = _state(now)
     if state[0] <= one_task:
-        return stored(now.coalesce(1).mapInArrow(_joined, EDGES), "edges").toDF("node", "component")
+        return stored(now.coalesce(1).mapInArrow(tidy(_joined), EDGES), "edges").toDF("node", "component")
     while True:
         large = stored(_large_star(now), "edges")
         new = stored(_small_star(large), "edges")

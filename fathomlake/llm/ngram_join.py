@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, release, stored, text_of
+from ._common import documents, release, stored, text_of, tidy
 from .components import connected_components, star_ties
 from .tokens import whole
 
@@ -263,7 +263,7 @@ def shingle_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), *[pa.array(v, t) for t, v in columns]], names=["doc_id", "n", "node", "point", "first_slot", "spares"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.mapInArrow(sizes, "doc_id bigint, n bigint, node bigint, point binary, first_slot int, spares array<int>")
+    return rows.mapInArrow(tidy(sizes), "doc_id bigint, n bigint, node bigint, point binary, first_slot int, spares array<int>")
 
 
 def meetings(docs: DataFrame, width: int, num: int, den: int, buckets: int = KEY_BUCKETS, hot: int = HOT) -> DataFrame:
@@ -347,10 +347,10 @@ def meetings(docs: DataFrame, width: int, num: int, den: int, buckets: int = KEY
         if rows:
             yield from out()
 
-    rows = docs.select(text_of(docs).alias("text")).mapInArrow(keyed, "bucket int, a binary, b binary, hot binary")
+    rows = docs.select(text_of(docs).alias("text")).mapInArrow(tidy(keyed), "bucket int, a binary, b binary, hot binary")
     # what is hot in a task (bucket -1) is dealt by its content
     dealt = rows.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(0)).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(counted, "u bigint, v bigint, key bigint, nodes bigint")
+    return dealt.mapInArrow(tidy(counted), "u bigint, v bigint, key bigint, nodes bigint")
 
 
 def candidate_ties(met: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -369,7 +369,7 @@ def candidate_ties(met: DataFrame, nodes: DataFrame, num: int, den: int) -> Data
     # nodes grow with the corpus: merge joins at every size
     at = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("point").alias(f"p_{side}")).hint("merge")
     pairs = met.filter("key is null").select("u", "v").distinct().join(at("u"), "u").join(at("v"), "v")
-    pairs = pairs.select("u", "v", "n_u", "n_v", "p_u", "p_v").mapInArrow(bounded, "u bigint, v bigint")
+    pairs = pairs.select("u", "v", "n_u", "n_v", "p_u", "p_v").mapInArrow(tidy(bounded), "u bigint, v bigint")
     own = nodes.select(F.col("node").alias("u"), "first_slot", "spares").hint("merge")
     slot = F.pmod(F.col("key").bitwiseAND(F.lit(SLOTS - 1)) - F.col("first_slot"), F.lit(SLOTS)).cast("int")
     often = met.filter("key is not null").select("u", "key", "nodes").join(own, "u").select("u", "key", "nodes", slot.alias("slot"), F.get("spares", slot).alias("spare"))

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import documents, table_path, text_of
-from .tokens import piece_tokenizer, slices, tokenizer_path
+from ._common import documents, give_back, table_path, text_of, tidy
+from .tokens import forget, piece_tokenizer, slices, tokenizer_path
 
 LENGTH = 4096
 END_ID = 2
@@ -148,6 +148,8 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, en
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()  # the worker may be one that tokenized
+        give_back()
         packer = _Packer(length, TaskContext.get().partitionId() * ROOM, with_ids)
 
         def rows(out: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +165,10 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, en
         yield from rows(packer.end())
 
     path = table_path(spark, "placed")
-    docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(place, "doc_id bigint, key bigint, ids binary").write.option("compression", "zstd").parquet(path)
+    docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(tidy(place), "doc_id bigint, key bigint, ids binary").write.option("compression", "zstd").parquet(path)
     placed = spark.read.schema("doc_id bigint, key bigint, ids binary").parquet(path)
     ordered = placed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
-    return ordered.mapInArrow(cut, PIECES)
+    return ordered.mapInArrow(tidy(cut), PIECES)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,8 @@ def piece_tokenizer(path: str) -> PieceTokenizer:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = PieceTokenizer(path)
     return _TOKENIZERS[path]
+
+
+def forget() -> None:
+    """Drop the tokenizers of this worker process, for steps after the last that tokenizes."""
+    _TOKENIZERS.clear()

@@ -113,3 +113,11 @@ def test_pipeline_edges(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.text) for r in kept if r.text) == sorted([(1, long[0]), (1, long[1]), (2, long[2]), (0, long[3])])
     last = corpus_pipeline.STAGES[-1][1]
     assert {r.doc_id for r in last(spark, docs, str(tmp_path)).collect()} == {1, 2, 3, None} and last(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_forget_drops_the_tokenizers():
+    from fathomlake.llm import tokens
+
+    tokens.piece_tokenizer(tokens.tokenizer_path())
+    tokens.forget()
+    assert not tokens._TOKENIZERS
