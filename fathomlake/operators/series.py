@@ -147,10 +147,15 @@ def hours_since(base: Column, time: Column) -> Column:
 
 
 def upcrossing_waves(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
-    """by, wave, height, period (rows): waves between upward crossings of the mean; parts at the ends don't count."""
+    """by, wave, height, period (rows): waves between upward crossings of the mean; parts at the ends don't count.
+
+    The mean is added up in the series' order: where it meets a value, its last bit decides on a crossing, and that must not
+    depend on the order in which rows arrive.
+    """
     part = Window.partitionBy(*by)
     w = part.orderBy(*order)
-    z = df.withColumn("__z", F.col(value) - F.avg(value).over(part)).withColumn("__up", F.when(F.signum(F.lead("__z").over(w)) - F.signum("__z") > 0, 1).otherwise(0))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    z = df.withColumn("__z", F.col(value) - F.avg(value).over(whole)).withColumn("__up", F.when(F.signum(F.lead("__z").over(w)) - F.signum("__z") > 0, 1).otherwise(0))
     z = z.withColumn("wave", F.sum("__up").over(w)).withColumn("__n", F.sum("__up").over(part))
     inside = z.filter("wave > 0 and wave < __n")
     return inside.groupBy(*by, "wave").agg((F.max("__z") - F.min("__z")).alias("height"), F.count(F.lit(1)).alias("period"))

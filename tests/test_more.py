@@ -266,3 +266,13 @@ def test_nonstationary_gev_is_the_stationary_one_at_rest(spark):
         ns.aggregate_quantile(df, p, 1.0)
     flat = df.select(ns.gev_cdf_at(F.col("x"), ns.gev_parameters(F.col("t"), {"base": 40.0}, {"base": math.log(30.0)}, {"base": 0.0})).alias("a"), ev.gev_cdf(F.col("x"), 40, 30, 0.0).alias("b")).collect()
     assert all(r.a == pytest.approx(r.b, abs=1e-12) for r in flat)
+
+
+def test_waves_where_the_mean_meets_a_value_do_not_depend_on_arrival(spark):
+    """Added up backwards, the mean of these values has another last bit and one crossing less."""
+    values = [9.8, 5.3, 1.7, 1.5, 5.7, 6.9, 5.6, 9.1]
+    rows = [(1, t, v) for t, v in enumerate(values)]
+    for arrived in (rows, rows[::-1]):
+        df = spark.createDataFrame(arrived, "u int, t int, v double").coalesce(1)
+        got = sorted((r.wave, round(r.height, 6), r.period) for r in se.upcrossing_waves(df, "v", ["t"], ["u"]).collect())
+        assert got == [(1, 0.0, 1), (2, 1.2, 2)]
