@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .boxes import Leaves, Metric, Tree
+
 #: References up to this number are broadcast to a nested loop; the number is checked before.
 MOST_REFERENCES = 10_000
 
@@ -25,51 +30,89 @@ def distance_squared(dims: list[str], circular: list[str] = (), weights: dict[st
 def nearest(queries: DataFrame, references: DataFrame, qid: str, rid: str, dims: list[str], circular: list[str] = (), weights: dict[str, float] | None = None) -> DataFrame:
     """qid, rid, distance: each query's nearest reference (least id on ties).
 
-    Up to MOST_REFERENCES references (checked) are broadcast, and a partial minimum leaves one row for a query. More of them are laid
-    into a grid of their first two dimensions: a query looks into its own cell and those around it, ring by ring twice as
-    far, until its nearest reference is nearer than anything outside the rings can be.
+    Up to MOST_REFERENCES references (checked) are broadcast, and a partial minimum leaves one row for a query. More of them are cut
+    into leaves, each query's nearest in a sample bounds its distance, and it looks into every leaf that isn't farther.
     """
     if references.limit(MOST_REFERENCES + 1).count() > MOST_REFERENCES:
-        return _nearest_by_grid(queries, references, qid, rid, dims, circular, weights)
+        return nearest_by_leaves(queries, references, qid, rid, dims, circular, weights)
     pairs = queries.alias("q").crossJoin(F.broadcast(references.alias("r")))
     best = F.min(F.struct(distance_squared(dims, circular, weights).alias("d"), F.col(f"r.{rid}").alias("r")))
     out = pairs.groupBy(F.col(f"q.{qid}").alias(qid)).agg(best.alias("b"))
     return out.select(qid, F.col("b.r").alias(rid), F.sqrt("b.d").alias("distance"))
 
 
-def _nearest_by_grid(queries: DataFrame, references: DataFrame, qid: str, rid: str, dims: list[str], circular: list[str] = (), weights: dict[str, float] | None = None, held: int = 20) -> DataFrame:
-    """``nearest`` by cells of about ``held`` references."""
-    axes = dims[:2]
-    ends = references.agg(F.count(F.lit(1)).alias("n"), *[f(d).alias(f"{d}_{k}") for d in axes for k, f in (("a", F.min), ("b", F.max))]).first()
-    cells = max(1, int((ends["n"] / held) ** (1 / len(axes))))
-    low = {d: 0.0 if d in circular else float(ends[f"{d}_a"]) for d in axes}
-    size = {d: (1.0 if d in circular else float(ends[f"{d}_b"]) - low[d] or 1.0) / cells for d in axes}
-    reach = min(size[d] * (weights or {}).get(d, 1.0) for d in axes)  # least weighted width of a ring
-    # a query outside the references' range is in a border cell: what lies outside its rings is no nearer for it
-    cell = lambda d: F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor((F.col(d) - low[d]) / size[d]))).cast("int")
-    r = references.select(rid, *dims, *[cell(d).alias(f"__{d}") for d in axes])
-    left, found, ring = queries.select(qid, *dims, *[cell(d).alias(f"__{d}") for d in axes]), None, 1
-    while True:
-        q = left
-        for d in axes:
-            if ring >= cells or (d in circular and 2 * ring + 1 >= cells):
-                steps = F.sequence(F.lit(0), F.lit(cells - 1))
-            elif d in circular:
-                steps = F.transform(F.sequence(F.lit(-ring), F.lit(ring)), lambda k: F.pmod(F.col(f"__{d}") + k, F.lit(cells)).cast("int"))
-            else:
-                steps = F.sequence(F.greatest(F.lit(0), F.col(f"__{d}") - ring), F.least(F.lit(cells - 1), F.col(f"__{d}") + ring))
-            q = q.withColumn(f"__{d}", F.explode(steps))
-        met = q.alias("q").join(r.alias("r").hint("shuffle_hash"), [F.col(f"q.__{d}") == F.col(f"r.__{d}") for d in axes])
-        best = met.groupBy(F.col(f"q.{qid}").alias(qid)).agg(F.min(F.struct(distance_squared(dims, circular, weights).alias("d"), F.col(f"r.{rid}").alias("r"))).alias("b"))
-        last = ring >= cells
-        sure = best.filter(F.lit(last) | (F.sqrt("b.d") < ring * reach))
-        found = sure if found is None else found.union(sure)
-        if last:
-            return found.select(qid, F.col("b.r").alias(rid), F.sqrt("b.d").alias("distance"))
-        left = left.join(sure.select(qid), qid, "left_anti")
-        if left.isEmpty():
-            return found.select(qid, F.col("b.r").alias(rid), F.sqrt("b.d").alias("distance"))
-        ring = min(cells, ring * 2)
+#: Places of references in the sample that cuts space into leaves and bounds each query's distance.
+MOST_SAMPLED = 100_000
+
+
+def nearest_by_leaves(queries: DataFrame, references: DataFrame, qid: str, rid: str, dims: list[str], circular: list[str] = (), weights: dict[str, float] | None = None, held: int = 4096, sampled: int = MOST_SAMPLED) -> DataFrame:
+    """``nearest`` for any number of references, exactly.
+
+    Space is cut into leaves of about ``held`` places, where a sample of about ``sampled`` places has its medians. A query's nearest sampled
+    place bounds its distance, and it goes to every leaf that isn't farther; there a tree of boxes finds its nearest reference.
+    References of one place are one row, and a leaf with very many queries is looked into by several tasks. The sample
+    decides about cost only. A reference without a finite place is never nearest; a query without one gets the least id and no distance.
+    """
+    spark, n = queries.sparkSession, range(len(dims))
+    metric = Metric([float((weights or {}).get(d, 1.0)) for d in dims], [d in circular for d in dims])
+    x = [f"x{k}" for k in n]
+    place = [F.col(d).cast("double").alias(c) for d, c in zip(dims, x, strict=True)]
+    placed = " and ".join(f"coalesce(abs({c}) < double('infinity'), false)" for c in x)
+    q, r = queries.select(F.col(qid).alias("q"), *place), references.select(F.col(rid).alias("r"), *place)
+    usable = r.filter(placed)
+    places = usable.agg(F.approx_count_distinct(F.struct(*x)).alias("n")).first()["n"]
+    part = usable.select(*x).filter(F.pmod(F.xxhash64(*x), F.lit(max(1, -(-places // sampled)))) == 0).distinct()
+    sample = part.toPandas().to_numpy(float)
+    lost = (q.filter(f"not ({placed})") if len(sample) else q).select("q").distinct().crossJoin(r.agg(F.min("r").alias("r")).filter("r is not null"))
+    lost = lost.select(F.col("q").alias(qid), F.col("r").alias(rid), F.lit(None).cast("double").alias("distance"))
+    if not len(sample):
+        return lost
+    levels = max(0, min(12, math.ceil(math.log2(max(1, places / held))), int(math.log2(max(1, len(sample) / 16)))))
+    sample = sample[np.lexsort(sample.T)]
+    leaves, tree = Leaves(sample, metric, levels), Tree(sample, metric)
+    asked = q.filter(placed)
+    total = asked.count()
+    tried = asked.select(*x).sample(min(1.0, 20_000 / max(1, total)), seed=1).toPandas().to_numpy(float)
+    load = np.bincount(leaves.within(tried, tree.nearest(tried)[0])[1], minlength=2**levels) * (total / max(1, len(tried)))
+    shares = np.maximum(1, np.ceil(load / 50_000)).astype(int)  # tasks that look into a leaf
+    tasks = int(min(1000, shares.sum()))
+    held_by = spark.sparkContext.broadcast((leaves, tree, shares))
+
+    def points(t) -> np.ndarray:
+        return np.column_stack([t.column(c).to_numpy(zero_copy_only=False) for c in x]) if t.num_rows else np.zeros((0, len(x)))
+
+    def deal(batches):
+        leaves, _, shares = held_by.value
+        for t in batches:
+            leaf = leaves.of(points(t))
+            row = np.repeat(np.arange(len(leaf)), k := shares[leaf])
+            share = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+            yield pa.RecordBatch.from_arrays([*t.take(pa.array(row)).columns, pa.array(leaf[row]), pa.array(share)], [*t.schema.names, "leaf", "share"])
+
+    def send(batches):
+        leaves, tree, shares = held_by.value
+        for t in batches:
+            p = points(t)
+            row, leaf = leaves.within(p, bound := tree.nearest(p)[0])
+            share = t.column("h").to_numpy()[row] % shares[leaf]
+            yield pa.RecordBatch.from_arrays([*t.take(pa.array(row)).columns, pa.array(bound[row]), pa.array(leaf), pa.array(share)], [*t.schema.names, "bound", "leaf", "share"])
+
+    def look(a, b):
+        if not a.num_rows or not b.num_rows:
+            return pa.table([a.column("q").slice(0, 0), pa.array([], pa.float64()), b.column("r").slice(0, 0)], ["q", "d", "r"])
+        b = b.sort_by("r")
+        d, number = Tree(points(b), metric).nearest(points(a), a.column("bound").to_numpy())
+        hit = np.flatnonzero(number >= 0)
+        return pa.table([a.column("q").take(pa.array(hit)), pa.array(d[hit]), b.column("r").take(pa.array(number[hit]))], ["q", "d", "r"])
+
+    kinds = {"q": dict(q.dtypes)["q"], "r": dict(r.dtypes)["r"]}
+    coordinates = ", ".join(f"{c} double" for c in x)
+    dealt = usable.groupBy(*x).agg(F.min("r").alias("r")).select("r", *x).mapInArrow(deal, f"r {kinds['r']}, {coordinates}, leaf long, share long")
+    sent = asked.withColumn("h", F.shiftrightunsigned(F.xxhash64("q"), 2)).mapInArrow(send, f"q {kinds['q']}, {coordinates}, h long, bound double, leaf long, share long").drop("h")
+    keys = ("leaf", "share")
+    met = sent.repartition(tasks, *keys).groupBy(*keys).cogroup(dealt.repartition(tasks, *keys).groupBy(*keys))
+    best = met.applyInArrow(look, f"q {kinds['q']}, d double, r {kinds['r']}").groupBy("q").agg(F.min(F.struct("d", "r")).alias("b"))
+    return best.select(F.col("q").alias(qid), F.col("b.r").alias(rid), F.sqrt("b.d").alias("distance")).union(lost)
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, time: str, lid: str, rid: str, seconds: float, by: list[str]) -> DataFrame:

@@ -306,11 +306,11 @@ def vortex_field(spark, sf):
 
 @query(f"WITH {WAVES}, r AS (SELECT id AS rid, hs/350 AS hs, tp/21 AS tp, dir/360 AS dir FROM w WHERE id%3=0), q AS (SELECT id, hs/350+0.001 AS hs, (tp+0.013)/21 AS tp, dir/360 AS dir FROM w WHERE id%3=1), d AS (SELECT id, rid, (q.hs-r.hs)*(q.hs-r.hs)+(q.tp-r.tp)*(q.tp-r.tp)+pow(least(abs(q.dir-r.dir),1-abs(q.dir-r.dir)),2) AS d FROM q CROSS JOIN r) SELECT id, rid, round(sqrt(d),6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, rid)=1")
 def nearest_of_many(spark, sf):
-    """A third of the sea states against another third, by cells."""
+    """A third of the sea states against another third, by leaves."""
     w = waves(spark, sf)
     q = w.filter("id % 3 = 1").select("id", (C("hs") / 350 + 0.001).alias("hs"), ((C("tp") + 0.013) / 21).alias("tp"), (C("dir") / 360).alias("dir"))
     r = w.filter("id % 3 = 0").select(C("id").alias("rid"), (C("hs") / 350).alias("hs"), (C("tp") / 21).alias("tp"), (C("dir") / 360).alias("dir"))
-    return jn._nearest_by_grid(q, r, "id", "rid", ["hs", "tp", "dir"], ["dir"])
+    return jn.nearest_by_leaves(q, r, "id", "rid", ["hs", "tp", "dir"], ["dir"])
 
 
 @query("SELECT min(a)::DATE AS start, max(b)::DATE AS \"end\" FROM (SELECT min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders UNION ALL SELECT min(l_shipdate), max(l_shipdate) FROM lineitem)")

@@ -276,3 +276,56 @@ def test_waves_where_the_mean_meets_a_value_do_not_depend_on_arrival(spark):
         df = spark.createDataFrame(arrived, "u int, t int, v double").coalesce(1)
         got = sorted((r.wave, round(r.height, 6), r.period) for r in se.upcrossing_waves(df, "v", ["t"], ["u"]).collect())
         assert got == [(1, 0.0, 1), (2, 1.2, 2)]
+
+
+def most_rows(spark, run):
+    """Rows of the largest step of the plans that ``run`` executes."""
+    store, jvm = spark._jsparkSession.sharedState().statusStore(), spark._jvm
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    listed = lambda seq: jvm.scala.jdk.javaapi.CollectionConverters.asJava(seq)
+    bus.waitUntilEmpty(30_000)
+    old, most = {x.executionId() for x in listed(store.executionsList())}, 0
+    run()
+    bus.waitUntilEmpty(30_000)
+    for x in listed(store.executionsList()):
+        if x.executionId() not in old:
+            values = listed(store.executionMetrics(x.executionId()))
+            for node in listed(store.planGraph(x.executionId()).allNodes()):
+                for m in listed(node.metrics()):
+                    if m.name() == "number of output rows" and (v := values.get(m.accumulatorId())):
+                        most = max(most, int(v.replace(",", "")))
+    return most
+
+
+def test_nearest_makes_few_rows_where_references_crowd(spark):
+    """One reference far away: all others were in one cell, and every query met them all."""
+    rng = np.random.default_rng(8)
+    refs, queries = rng.random((3000, 3)), rng.random((3000, 3))
+    refs[17] = 1e4
+    cols = "a double, b double, c double"
+    r = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(refs)], f"rid int, {cols}")
+    q = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(queries)], f"qid int, {cols}")
+    got = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jn, "MOST_REFERENCES", 100)
+        rows = most_rows(spark, lambda: got.update({x.qid: x.rid for x in jn.nearest(q, r, "qid", "rid", ["a", "b", "c"]).collect()}))
+    assert got == {i: int(((refs - p) ** 2).sum(1).argmin()) for i, p in enumerate(queries)}
+    assert rows < 10 * 3000
+
+
+@pytest.mark.parametrize("held,sampled", [(20, 60), (7, 1000), (10_000, 5)])
+def test_nearest_by_leaves_takes_copies_ties_and_missing_places(spark, held, sampled):
+    rng = np.random.default_rng(5)
+    refs, queries = rng.integers(0, 5, (300, 2)) / 5, rng.integers(-2, 9, (200, 2)) / 5
+    name = lambda i: f"r{i:03d}"
+    rows = [(name(i + 1), *map(float, x)) for i, x in enumerate(refs)] + [("r000", None, 0.2), ("r999", 0.2, float("nan"))]
+    r = spark.createDataFrame(rows, "rid string, a double, b double")
+    q = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(queries)] + [(-1, None, 0.5), (-2, 0.5, float("nan"))], "qid long, a double, b double")
+    got = {x.qid: (x.rid, x.distance) for x in jn.nearest_by_leaves(q, r, "qid", "rid", ["a", "b"], held=held, sampled=sampled).collect()}
+    assert (got.pop(-1), got.pop(-2)) == (("r000", None),) * 2
+    d = ((queries[:, None] - refs) ** 2).sum(2)
+    assert got == {i: (name(int(d[i].argmin()) + 1), pytest.approx(float(np.sqrt(d[i].min())))) for i in range(200)}
+    none = r.filter("rid = 'r000'")
+    assert {(x.rid, x.distance) for x in jn.nearest_by_leaves(q, none, "qid", "rid", ["a", "b"]).collect()} == {("r000", None)}
+    assert jn.nearest_by_leaves(q, none.filter("false"), "qid", "rid", ["a", "b"]).count() == 0
+    assert jn.nearest_by_leaves(q.filter("false"), r, "qid", "rid", ["a", "b"], held=held, sampled=sampled).count() == 0
