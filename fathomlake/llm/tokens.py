@@ -1,13 +1,13 @@
-"""Tokenizing Arrow columns: each distinct piece between spaces is encoded once for a task.
+"""Tokenizing Arrow columns: each distinct head of a piece between spaces is encoded once, and remembered.
 
 The tokenizer drops white space and no rule of it looks across a space, so a text's ids are those of its
-pieces, one after another. Texts are split by Arrow, pieces become dictionary numbers, and numpy puts the
-ids of the pieces together; Python never walks over words.
+pieces, one after another. Letters in front of a run of punctuation are no less apart: such a piece is a head and a
+tail. Arrow numbers the pieces of a slice of texts, looks heads and tails up among those it knows, and numpy puts
+their ids together; Python walks over words that are new alone.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +15,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct pieces that a task remembers; beyond it the memory starts anew.
+#: Heads and tails that a worker remembers; beyond it those stay that were met again, or none if they are too many.
 REMEMBERED = 700_000
 #: A control character that is one token of its own; it marks the ends of pieces.
 MARK = "\x01"
-#: Words of ASCII and Latin letters that have one lower case and no composition of their own.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-PLAIN_ENDS = ".,"
+#: Punctuation of ASCII: a run of it is split from the letters before it.
+POINTS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of ASCII and Latin letters that have one lower case and no composition of their own, and perhaps a tail.
+PLAIN = r"\A[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[!-/:-@\[-`{-~]*\z"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -32,8 +33,10 @@ def _byte_letters() -> dict[int, int]:
 
 
 BYTE_LETTERS = _byte_letters()
+#: Code points of the letters by byte.
+LETTERS = np.array([BYTE_LETTERS.get(b, b) for b in range(256)], "<u4")
 #: Bytes of text that are split at once; a longer text is split alone.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 8 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -64,10 +67,25 @@ def _spread(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat((start - (ends - sizes)).astype(np.int32), sizes) + np.arange(total, dtype=np.int32)
 
 
+def _cut(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes between neighbouring bounds as strings."""
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64, copy=False)), pa.py_buffer(data))
+
+
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Data and bounds of large strings."""
+    _, bounds, data = strings.buffers()
+    return np.frombuffer(data or b"", np.uint8), np.frombuffer(bounds, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+
+
+def _mask(flags: pa.Array) -> np.ndarray:
+    return flags.to_numpy(zero_copy_only=False)
+
+
 class PieceTokenizer:
     """Whole texts to ids (uint32) by way of remembered pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
@@ -77,18 +95,25 @@ class PieceTokenizer:
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.point = {c: i for c in PLAIN_ENDS for (i,) in [self.tok.encode(c, add_special_tokens=False).ids]}
         (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
+        self.remembered = remembered
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 12, np.int32)
-        self.length = np.zeros(1 << 12, np.int32)
-        self.used = 0
-
-    def _ids(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of what is known: strings, their ids one after another, how many each has, and whether a second slice had it. The empty tail comes first."""
+        self.known = pa.array([""], pa.large_string())
+        self.ids = np.zeros(0, np.uint32)
+        self.length = np.zeros(1, np.int32)
+        self.again = np.ones(1, bool)
+
+    def _shrink(self) -> None:
+        keep = self.again
+        if 2 * keep.sum() > self.remembered:
+            return self._clear()
+        self.known, self.ids, self.length = self.known.filter(pa.array(keep)), self.ids[np.repeat(keep, self.length)], self.length[keep]
+        self.again = np.arange(len(self.length)) == 0
+
+    def _odd(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces, and how many each has: pieces are encoded in long lines, with a mark between them."""
         if any(MARK in x for x in fresh):
             found = [np.asarray(e.ids, np.uint32) for e in self.tok.encode_batch_fast(fresh, add_special_tokens=False)]
@@ -99,55 +124,32 @@ class PieceTokenizer:
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of plain small letters: each ends with the first id that ends a word."""
-        line = " ".join(words).encode().decode("latin-1").translate(BYTE_LETTERS)
+        line = LETTERS[np.frombuffer(" ".join(words).encode(), np.uint8)].tobytes().decode("utf-32-le")
         ids = np.asarray(self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
         return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
 
-    def _add(self, part: list[str], found: np.ndarray, sizes: np.ndarray) -> None:
-        n, total = len(self.number), len(found)
-        while n + len(part) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + total] = found
-        self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-        self.length[n : n + len(part)] = sizes
-        self.used += total
-        self.number.update(zip(part, range(n, n + len(part))))
-
-    def _learn(self, fresh: list[str]) -> None:
-        """Plain words behind an optional full stop or comma are encoded once; everything else piece by piece."""
-        stems, odd, rest = {}, [], []
-        for x in fresh:
-            stem = x[:-1] if x[-1:] in self.point else x
-            if PLAIN.fullmatch(stem):
-                low = stem.lower()
-                rest.append((x, low))
-                if low not in self.number:
-                    stems[low] = None
-            else:
-                odd.append(x)
-        words = list(stems)
-        for at in range(0, len(words), 2_000):
-            part = words[at : at + 2_000]
-            self._add(part, *self._plain(part))
-        for at in range(0, len(odd), 1_000):
-            part = odd[at : at + 1_000]
-            self._add(part, *self._ids(part))
-        derived = [(x, low) for x, low in rest if x != low]
-        if derived:
-            names = [x for x, _ in derived]
-            of = np.fromiter((self.number[low] for _, low in derived), np.int64, len(derived))
-            ends = np.fromiter((self.point.get(x[-1], -1) for x in names), np.int64, len(names))
-            own = self.length[of]
-            sizes = own + (ends >= 0)
-            to = np.cumsum(sizes, dtype=np.int64)
-            found = np.zeros(int(to[-1]), np.uint32)
-            inner = np.ones(len(found), bool)
-            inner[to[ends >= 0] - 1] = False
-            found[inner] = self.ids[_spread(self.start[of], own)]
-            found[~inner] = ends[ends >= 0]
-            self._add(names, found, sizes)
+    def _learn(self, words: pa.Array, odd: pa.Array) -> None:
+        ids, sizes = [self.ids], [self.length]
+        for fresh, encode, step in (words, self._plain, 2_000), (odd, self._odd, 1_000):
+            for at in range(0, len(fresh), step):
+                found, n = encode(fresh.slice(at, step).to_pylist())
+                ids.append(found)
+                sizes.append(n.astype(np.int32))
+        self.known, self.ids, self.length = pa.concat_arrays([self.known, words, odd]), np.concatenate(ids), np.concatenate(sizes)
+        self.again = np.append(self.again, np.zeros(len(words) + len(odd), bool))
+
+    def _numbers(self, parts: pa.Array, plain: np.ndarray) -> np.ndarray:
+        """Number of each part among those known; new ones are learned, plain words by the short way."""
+        found = pc.index_in(parts, value_set=self.known)
+        new = _mask(pc.is_null(found))
+        which = pc.fill_null(found, 0).to_numpy().copy()
+        self.again[which[~new]] = True
+        if new.any():
+            first = len(self.known)
+            words, odd = (pc.unique(parts.filter(pa.array(new & x))) for x in (plain, ~plain))
+            self._learn(words, odd)
+            which[new] = first + pc.index_in(parts.filter(pa.array(new)), value_set=pa.concat_arrays([words, odd])).to_numpy()
+        return which
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text. Null is empty."""
@@ -156,20 +158,35 @@ class PieceTokenizer:
         return np.concatenate([np.zeros(0, np.uint32), *[x for x, _ in parts]]), np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]])
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        pieces = lists.flatten().dictionary_encode()
-        names = pieces.dictionary.to_pylist()
-        if len(self.number) > REMEMBERED:
-            self._clear()
-        self._learn([x for x in names if x not in self.number])
-        known = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
-        which = known[pieces.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
-        sizes = self.length[which]
-        flat = self.ids[_spread(self.start[which], sizes)]
-        offsets = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
-        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[offsets]
+        data, bounds = _bytes(texts)
+        data = np.where(data == ord("\n"), np.uint8(ord(" ")), data)[: bounds[-1]]
+        ends = np.zeros(len(data) + 1, bool)  # a piece ends behind its space, and at a text's end
+        ends[1:] = data == ord(" ")
+        ends[bounds] = ends[0] = True
+        ends = np.flatnonzero(ends)
+        pieces = _cut(data, ends).dictionary_encode()
+        ids, sizes = self._table(pc.ascii_rtrim(pieces.dictionary, " "))
+        which = pieces.indices.to_numpy()
+        counts = sizes[which]
+        flat = ids[_spread((np.cumsum(sizes) - sizes)[which], counts)]
+        upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[np.searchsorted(ends, bounds)]
         return flat, np.diff(upto)
 
+    def _table(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and how many each has."""
+        if len(self.known) > self.remembered:
+            self._shrink()
+        plain = _mask(pc.match_substring_regex(names, PLAIN))
+        low = pc.if_else(pa.array(plain), pc.utf8_lower(names), names)  # plain letters keep their bytes' number
+        data, bounds = _bytes(low)
+        size = np.diff(bounds)
+        head = np.where(plain, np.diff(_bytes(pc.ascii_rtrim(low, POINTS))[1]), size)
+        both = np.empty(2 * len(size) + 1, np.int64)
+        both[0::2], both[1::2] = bounds, bounds[:-1] + head
+        which = self._numbers(_cut(data, both), np.repeat(plain, 2) & (np.arange(2 * len(size)) % 2 == 0))
+        start, sizes = np.cumsum(self.length) - self.length, self.length[which]
+        return self.ids[_spread(start[which], sizes)], sizes[0::2] + sizes[1::2]
+
 
 _TOKENIZERS: dict[str, PieceTokenizer] = {}
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from fathomlake.llm.packing import hilbert_key, pack
 from fathomlake.llm.rans import decode_segment, encode_segment, read_token_files, write_token_files
-from fathomlake.llm.tokens import piece_tokenizer, tokenizer_path
+from fathomlake.llm.tokens import PieceTokenizer, piece_tokenizer, tokenizer_path
 
 TEXTS = [None, "", " ", "Foo, foo. FOO ..", "ÀÉß. ÞÿŸ İstanbul ΣΑΣ", "It's I'LL 4٣", "<|endoftext|> x<|startoftext|>y", "á ́", "x\x01y \x01", "🙂‍🧠 \x00", "word " * 30_000, "Foo, foo. FOO ..", "tab\there\r\nthere \xa0end"]
 SCHEMA = "doc_id bigint, text string, key string, ids string"
@@ -27,6 +27,48 @@ def test_pieces_give_the_tokenizers_ids():
     assert counts.tolist() == [len(w) for w in want] and np.array_equal(ids, np.concatenate(want))
 
 
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.n = tok, 0
+
+    def encode_batch_fast(self, lines, **kw):
+        self.n += sum(map(len, lines))
+        return self.tok.encode_batch_fast(lines, **kw)
+
+
+def test_heads_and_tails_are_encoded_once():
+    """Before, each of the 2,000 pieces that end with something else than one full stop or comma was encoded."""
+    tok = PieceTokenizer(tokenizer_path())
+    tails = ["", "***", "&&&", "%%%.", "_", "'", "''", "<|", '"),', "\\"]
+    text = " ".join(f"{head}{tail}" for i in range(200) for head in [f"Ma{chr(97 + i % 26)}{chr(97 + i // 26)}ré"] for tail in tails)
+    want = tok.tok.encode(text, add_special_tokens=False).ids
+    tok.tok, tok.plain = Counting(tok.tok), Counting(tok.plain)
+    ids, _ = tok.encode(pa.array([text]))
+    assert ids.tolist() == want and tok.tok.n + tok.plain.n < len(text) / 5
+
+
+def test_a_full_memory_keeps_what_was_met_again():
+    small, whole = PieceTokenizer(tokenizer_path(), remembered=40), PieceTokenizer(tokenizer_path())
+    name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    for i in range(30):
+        texts = pa.array(["the Storm, <|endoftext|>x of " + " ".join(f"{name(k)}.. {k}" for k in range(8 * i, 8 * i + (200 if i == 20 else 8))), None, "THE storm"])
+        (a, n), (b, m) = small.encode(texts), whole.encode(texts)
+        want = [whole.tok.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+        assert a.tolist() == b.tolist() == sum(want, []) and n.tolist() == m.tolist() == [len(w) for w in want]
+        assert i == 20 or len(small.known) < 80
+    assert "storm" in small.known.to_pylist()
+
+
+def test_odd_cuts_of_arrays():
+    tok = PieceTokenizer(tokenizer_path())
+    for texts in [pa.array([], pa.string()), pa.array([None, ""], pa.string()), pa.array(["\n \n", " a", "a ", "b\n"]), pa.array(["xx", "B a.", None, "a\nb"], pa.large_string()).slice(1)]:
+        ids, n = tok.encode(texts)
+        want = [tok.tok.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+        assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+
+
 @pytest.mark.parametrize("n,high", [(1, 1), (31, 2), (1000, 5), (70_000, 49_000), (40_000, 1)])
 def test_rans_round_trip(n, high):
     ids = (np.random.default_rng(n).random(n) ** 3 * high).astype(np.uint32)
