@@ -11,6 +11,9 @@ verdict keeps what the base rules keep. It tells junk from the rest once the tru
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,9 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 SCALE = 1_000_000
+#: Places of a text that its words can have: a text is shorter than 2**31 bytes.
+PLACE_BITS = 30
+PLACES = 1 << PLACE_BITS
 
 
 def bucket_of(gram: Column, buckets: int) -> Column:
@@ -44,44 +50,48 @@ def features(words: Column, buckets: int = BUCKETS) -> Column:
 
 
 def summed(words: Column, weights: Column, buckets: int) -> Column:
-    """Sum of the weights of all words and of all pairs of neighbours."""
-    of = lambda gram: F.coalesce(F.get(weights, bucket_of(gram, buckets)), F.lit(0))
-    return F.aggregate(F.transform(words, lambda w, i: (of(w) + of(_pair(words, w, i))).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    """Sum of the weights of all words and of all pairs of neighbours; the last word has no pair."""
+    of = lambda gram: F.get(weights, bucket_of(gram, buckets))
+    return F.aggregate(F.transform(words, lambda w, i: of(w) + F.coalesce(of(_pair(words, w, i)), F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def repeated_words(words: Column) -> Column:
     """Number of words that lie in a three-word window found twice or more in the text."""
 
-    def covered(hashes: Column) -> Column:
-        """Windows with one hash are neighbours in this order, and told apart by their words."""
+    def met(s: Column, k: Column, same: Callable[[Column], Column]) -> Column:
+        return same(F.get(s, k - 1)) | same(F.get(s, k + 1))
+
+    def covered(places: Column) -> Column:
+        """Windows with equal words are neighbours in this order."""
         at = let(
-            F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")))),
-            lambda s: F.sort_array(
-                F.transform(
-                    F.filter(s, lambda x, k: ((F.get(s, k - 1)["h"] == x["h"]) & (F.get(s, k - 1)["w"] == x["w"])) | ((F.get(s, k + 1)["h"] == x["h"]) & (F.get(s, k + 1)["w"] == x["w"]))),
-                    lambda x: x["i"],
-                )
-            ),
+            F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")))),
+            lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: met(s, k, lambda y: y["w"] == x["w"])), lambda x: x["i"])),
         )
         # Each window adds the words that the one before it doesn't cover.
-        total = F.aggregate(
+        return F.aggregate(
             at,
             F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
             lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).cast("long").alias("n"), i.alias("last")),
             lambda a: a["n"],
         )
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(total)
+
+    def shared(hashes: Column) -> Column:
+        """Places of windows that share 34 bits of their hash with another: one number holds these bits and the place, so the sort is plain."""
+        keys = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(-PLACES)).bitwiseOR(i.cast("long"))))
+        found = let(keys, lambda s: F.filter(s, lambda x, k: met(s, k, lambda y: F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0)))
+        return F.transform(found, lambda x: x.bitwiseAND(F.lit(PLACES - 1)).cast("int"))
 
     hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(hashes, covered))
+    repeated = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(shared(h), covered)).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(hashes, repeated))
 
 
 def base_columns(text: Column, words: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(functools.reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SYMBOLS, text))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(words),
     }

@@ -6,7 +6,8 @@ import zlib
 
 import pytest
 from fathomlake.llm.html_text import MaxFlow, blocks_of, extract_text, labels_of, main_text, scores_of
-from fathomlake.llm.quality import quality_rules
+from fathomlake.llm.quality import quality_rules, repeated_words
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, n_words string, bucket int"
@@ -62,6 +63,20 @@ def test_quality_rules_by_brute_force(spark):
     assert quality_rules(docs.limit(0), docs.select("doc_id").limit(0)).collect() == []
 
 
+def test_only_windows_that_share_a_hash_are_compared_by_words(spark):
+    """Before, one repeated window made every window of a text a string; now strings are made behind the filter alone."""
+    plan = repeated_words(F.col("w"))._jc.toString()
+    assert plan.index("concat_ws") > plan.index("shiftright")
+    texts = ["a b c", "a b c d", "a a a a", "a b c a b c", "a b a b a b", " ".join(map(str, range(3000))) + " x 7 8 9 y 8 9 10 11", "p q r s t p q r t p q r s"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", repeated_words(F.split("t", " ")).alias("n")).collect()
+    for r in got:
+        w, cover = texts[r.i].split(), set()
+        often = collections.Counter(zip(w, w[1:], w[2:]))
+        for k, x in enumerate(zip(w, w[1:], w[2:])):
+            cover |= {k, k + 1, k + 2} if often[x] > 1 else set()
+        assert r.n == len(cover), texts[r.i][:40]
+
+
 def test_without_trusted_texts_the_base_rules_decide(spark):
     rows = [(1, " ".join(f"w{i}" for i in range(60)), "x", 1), (1, "short", "y", 2), (2, "%%% " * 70, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
